@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidestep.llm import exact_dedup, mixing
+from tidestep.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op6_simhash": simhash.op6_simhash,
 }
 
 ORACLE_SQL = {
