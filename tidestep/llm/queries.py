@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidestep.llm import exact_dedup, mixing, quality, simhash, toxicity
+from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
