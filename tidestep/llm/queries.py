@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
+from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_token_files": token_files.op7_token_files,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
 }
