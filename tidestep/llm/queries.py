@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity
+from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_files": token_files.op7_token_files,

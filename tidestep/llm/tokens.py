@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-#: Code points with the Unicode property White_Space (fixed values).
+#: Code points with the Unicode property White_Space (fixed values), as the inside of a regex class.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Words that a memo holds at most; it is emptied when full.
 MEMO = 300_000
