@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, token_counts, token_files, toxicity
+from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_topk": topk.op2_topk,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_packing": packing.op5_packing,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op2_topk": topk.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
 }
