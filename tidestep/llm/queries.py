@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidestep.llm import exact_dedup, mixing, packing, quality, simhash, token_counts, token_files, topk, toxicity
+from tidestep.llm import exact_dedup, mixing, packing, quality, repeats, simhash, token_counts, token_files, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_files": token_files.op7_token_files,
+    "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality": quality.op10_quality,
 }
