@@ -32,6 +32,8 @@ TERMS = 8192
 LEXICON = 256
 #: Standard deviations by which a lexicon term's toxic rows exceed what its frequency explains.
 SURE = 4
+#: The same for a term of either class to enter the classifier's vocabulary.
+NOTABLE = 2.5
 #: Accuracy that the label model grants the annotators.
 TRUST = 0.99
 THRESHOLD = 0.5
@@ -163,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
     # terms that differ most from what their frequency explains; the vocabulary is bounded by TERMS
     expected = (F.col("toxic") + F.col("clean")) * F.lit(pos / n)
     z = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    top = counted.where("toxic + clean >= 3").select("term", "clean", "toxic", z.alias("z")).orderBy(F.desc(F.abs("z")), "term").limit(TERMS).toPandas()
+    top = counted.where("toxic + clean >= 3").select("term", "clean", "toxic", z.alias("z")).where(F.abs("z") >= NOTABLE).orderBy(F.desc(F.abs("z")), "term").limit(TERMS).toPandas()
     vocabulary = {t: i for i, t in enumerate(top.term)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
