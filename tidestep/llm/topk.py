@@ -4,8 +4,8 @@ Pivots are rows of the table itself. The distances of every vector to all pivots
 once and kept with it. For a query q and a candidate x, the triangle inequality makes
 |d(q, p) - d(x, p)| a lower bound of their distance for every pivot p; the maximum over the
 pivots bounds the inner product (|q|^2 + |x|^2 - d^2) / 2 from above. Candidates are evaluated
-in order of that bound until the next bound is below the k-th best score found, which starts
-as the k-th best score among the pivots.
+in order of that bound, in growing classes, until all bounds left are below the k-th best
+score found, which starts as the k-th best score among the pivots.
 
 Queries and candidates travel in blocks; a block of queries meets each block of candidates
 once, and every meeting returns k rows a query at most.
@@ -28,7 +28,7 @@ BLOCK = 16_384
 #: Blocks are dealt to at most so many meeting places.
 MOST_PLACES = 4096
 SCALE = 64
-#: What rounding can change in a distance, generously.
+#: What rounding to 32 bits can change in a distance, as a share of it, generously.
 SLACK = 1e-6
 
 
@@ -44,10 +44,15 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def _scores(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products: in doubles where they are exact, else in whole numbers of any size."""
+    """Inner products: in floating point where that is exact, else in whole numbers of any size."""
     return (x @ q).astype(np.int64) if exact else (x.astype(object) @ q.astype(object)).astype(np.int64)
 
 
+def _float(largest: float) -> type | None:
+    """The smallest floating type that holds every whole number up to largest."""
+    return np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else None
+
+
 def _pack(pivots: dict[int, np.ndarray], most: int):
     """Rows (part, dim, row, id, v) to blocks of one dimension with their pivot table."""
 
@@ -88,28 +93,43 @@ def _meet(k: int, pivots: dict[int, tuple[np.ndarray, np.ndarray]]):
                 width = len(q["d"]) // 8 // q["n"]
                 qd, cd = take(q, "d", "<f8", width), take(c, "d", "<f8", width)
                 p_row, p_x = pivots[dim]
-                largest = max(float(np.abs(cx).max(initial=0)), float(np.abs(p_x).max(initial=0)))
-                exact = float(np.abs(qx).max(initial=0)) * largest * dim < 2**52
-                x, seed_x = (cx.astype(float), p_x.astype(float)) if exact else (cx, p_x)
+                top = max(float(np.abs(cx).max(initial=0)), float(np.abs(p_x).max(initial=0)))
+                kind = _float(float(np.abs(qx).max(initial=0)) * top * dim)
+                x, seed_x = (cx.astype(kind), p_x.astype(kind)) if kind else (cx, p_x)
                 norm = (cx.astype(float) ** 2).sum(axis=1)
+                table, q_table = np.ascontiguousarray(cd.T.astype(np.float32)), qd.astype(np.float32)
+                slack = SLACK * (1 + float(table.max(initial=0)) + float(q_table.max(initial=0)))
+                gap = np.zeros(c["n"], np.float32)
+                own = {int(r): j for j, r in enumerate(c_row)}
                 out: list[list] = [[], [], [], [], []]
                 for i in range(q["n"]):
-                    v = qx[i].astype(float) if exact else qx[i]
-                    seeds = np.sort(_scores(seed_x, v, exact)[p_row != q_row[i]])[::-1]
-                    floor = float(seeds[k - 1]) if len(seeds) >= k else -np.inf
-                    low = np.abs(cd - qd[i]).max(axis=1, initial=0.0)
-                    low = np.maximum(0, low - SLACK * (1 + low))
-                    bound = ((qx[i].astype(float) ** 2).sum() + norm - low * low) / 2
+                    v = qx[i].astype(kind) if kind else qx[i]
+                    seeds = np.sort(_scores(seed_x, v, bool(kind))[p_row != q_row[i]])[::-1]
+                    least = float(seeds[k - 1]) if len(seeds) >= k else -np.inf
+                    low = np.zeros(c["n"], np.float32)
+                    for p in range(width):
+                        np.abs(np.subtract(table[p], q_table[i, p], out=gap), out=gap)
+                        np.maximum(low, gap, out=low)
+                    far = np.maximum(0, low.astype(float) - slack)
+                    bound = ((qx[i].astype(float) ** 2).sum() + norm - far * far) / 2
                     bound += SLACK * (1 + np.abs(bound))
-                    order = np.flatnonzero((bound >= floor) & (c_row != q_row[i]))
-                    order = order[np.argsort(-bound[order], kind="stable")]
+                    if int(q_row[i]) in own:
+                        bound[own[int(q_row[i])]] = -np.inf
                     best = np.zeros((0, 3), np.int64)
-                    at, step = 0, 8 * k
-                    while at < len(order) and (len(best) < k or bound[order[at]] >= best[-1, 0]):
-                        some = order[at : at + step]
-                        best = np.concatenate([best, np.stack([_scores(x[some], v, exact), c_id[some], c_row[some]], axis=1)])
+                    for size in (8 * k, 100 * k, c["n"]):  # classes of falling bound
+                        left = np.flatnonzero((bound >= least) & (bound > -np.inf))
+                        if not len(left):
+                            break
+                        if len(left) > size:
+                            left = left[np.argpartition(-bound[left], size)[:size]]
+                        found = _scores(x, v, bool(kind))[left] if 4 * len(left) > len(x) else _scores(x[left], v, bool(kind))
+                        bound[left] = -np.inf
+                        good = found >= least
+                        left, found = left[good], found[good]
+                        best = np.concatenate([best, np.stack([found, c_id[left], c_row[left]], axis=1)])
                         best = best[np.lexsort((best[:, 2], best[:, 1], -best[:, 0]))[:k]]
-                        at, step = at + step, min(2 * step, 4096)
+                        if len(best) == k:
+                            least = max(least, float(best[-1, 0]))
                     for column, value in zip(out, ([q_row[i]] * len(best), [q_id[i]] * len(best), best[:, 1], best[:, 2], best[:, 0]), strict=True):
                         column.append(np.asarray(value, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out], names=["query_row", "query_id", "vec_id", "row", "score"])
