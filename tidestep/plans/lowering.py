@@ -175,7 +175,7 @@ class Lowering:
         k = self.kind(col)
         if isinstance(k, T.NumericType):
             return col
-        return get_type("num").column(col, k, None)
+        return get_type("num").column(F.coalesce(col, F.lit(False)) if isinstance(k, T.BooleanType) else col, k, None)
 
     def expr(self, node: ir.Node, guard: Column | None) -> Column:
         if isinstance(node, ir.Const):
@@ -316,6 +316,8 @@ class Lowering:
     def coerced(self, target: str, value: Column) -> Column:
         d = self.declared.get(target)
         k = self.kind(value)
+        if isinstance(k, T.BooleanType):
+            value = F.coalesce(value, F.lit(False))  # a comparison is true or false
         if d is not None:
             out = get_type(d.stype).column(value, k, d.length if d.stype == CHAR else d.scale)
             return out.cast(d.data_type) if d.stype != "num" else out
