@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def _wrapped(f: Callable, kind: str) -> Callable[[Column, Spec], Column]:
     """A Python function of single values as a vectorised function of columns."""
 
     def column(col: Column, spec: Spec) -> Column:
-        import pandas as pd
-
         @F.pandas_udf(kind)
         def run(values: pd.Series) -> pd.Series:
             return values.map(lambda v: None if v is None or v != v else f(v, spec))

@@ -143,7 +143,9 @@ class Lowering:
         self.updates: dict[str, list[Update]] = {v: [] for v in self.states}
         self.edges: dict[tuple[str, str], Column] = {}
         self.outputs: list[tuple[Column, dict[str, Column]]] = []
-        self.deleted = F.lit(False)
+        self.deleted: Column | None = None
+        self.null_guards: set[str] = set()
+        self.unsure_output = self.unsure_delete = False
         self.live: Column | None = None
         self.names = [c for c in self.source.df.columns if c not in self.source.flags]
         self.names += [n for n in (*self.declared, *self.retain) if n not in self.names]
@@ -277,9 +279,15 @@ class Lowering:
 
     # statements
 
-    def guarded(self, guard: Column | None, more: Column) -> Column:
-        more = F.col(self.keep(F.coalesce(more, F.lit(False))))
-        return more if guard is None else guard & more
+    def unsure(self, node: ir.Node) -> bool:
+        """Whether a test may be NULL, which counts as false; such tests stay bare so that filters reach the files."""
+        if isinstance(node, ir.Compare):
+            known = lambda x: isinstance(x, ir.Const) and not isinstance(x.value, Missing)
+            return known(node.right) and node.op in (">", ">=", "==") or known(node.left) and node.op in ("<", "<=", "==")
+        return isinstance(node, ir.Logic) and any(map(self.unsure, node.values)) or isinstance(node, ir.Choose)
+
+    def opposite(self, guard: Column, unsure: bool) -> Column:
+        return ~F.coalesce(guard, F.lit(False)) if unsure else ~guard
 
     def run(self) -> None:
         for i, s in enumerate(self.body):
@@ -290,7 +298,9 @@ class Lowering:
 
     def statement(self, s: ir.Node, guard: Column | None) -> None:
         if self.live is not None:
-            guard = self.live if guard is None else guard & self.live
+            unsure = str(guard) in self.null_guards
+            guard = self.live if guard is None else F.col(self.keep(guard & self.live))
+            self.null_guards |= {str(guard)} if unsure else set()
         if isinstance(s, ir.Assign):
             self.assign(s, guard)
         elif isinstance(s, ir.If):
@@ -299,18 +309,22 @@ class Lowering:
                 if found:
                     self.updates[v].append(Update(guard if guard is not None else F.lit(True), found[0], self.coerced(v, self.expr(found[1], guard))))
                     return
-            test = F.col(self.keep(F.coalesce(self.truth(s.test, guard), F.lit(False))))
-            for branch, sign in ((s.yes, test), (s.no, ~test)):
+            test, unsure = F.col(self.keep(self.truth(s.test, guard))), self.unsure(s.test)
+            for branch, sign, bare in ((s.yes, test, unsure), (s.no, self.opposite(test, unsure), False)):
                 if branch:
-                    inner = self.guarded(guard, sign)
+                    inner = F.col(self.keep(sign if guard is None else guard & sign))
+                    self.null_guards |= {str(inner)} if bare or str(guard) in self.null_guards else set()
                     for x in branch:
                         self.statement(x, inner)
         elif isinstance(s, ir.Output):
             self.outputs.append((guard if guard is not None else F.lit(True), dict(self.env)))
+            self.unsure_output |= str(guard) in self.null_guards
         elif isinstance(s, ir.Delete):
-            self.deleted = self.deleted | (guard if guard is not None else F.lit(True))
+            gone = guard if guard is not None else F.lit(True)
+            self.deleted = gone if self.deleted is None else self.deleted | gone
+            self.unsure_delete |= str(guard) in self.null_guards
         elif isinstance(s, ir.Return):
-            gone = ~(guard if guard is not None else F.lit(True))
+            gone = self.opposite(guard, True) if guard is not None else F.lit(False)
             self.live = F.col(self.keep(gone if self.live is None else self.live & gone))
 
     def coerced(self, target: str, value: Column) -> Column:
@@ -388,16 +402,19 @@ class Lowering:
         """The emitted rows, with the columns that the order needs in front, hidden."""
         final = {n: self.env[n] for n in self.names}
         hidden = {f"__o{i}": F.col(c) for i, c in enumerate(self.order)}
+        stays = None if self.deleted is None else self.opposite(self.deleted, self.unsure_delete)
         if not self.outputs:
-            return self.df.where(~F.coalesce(self.deleted, F.lit(False))).select(*[c.alias(n) for n, c in hidden.items()], F.lit(0).alias("__op"), *[c.alias(n) for n, c in final.items()])
+            return (self.df if stays is None else self.df.where(stays)).select(*[c.alias(n) for n, c in hidden.items()], F.lit(0).alias("__op"), *[c.alias(n) for n, c in final.items()])
         sas = self.options.implicit_output == "sas"
-        some = F.lit(False)
-        for g, _ in self.outputs:
+        some = self.outputs[0][0]
+        for g, _ in self.outputs[1:]:
             some = some | g
-        implicit = F.lit(False) if sas else ~some & ~self.deleted
+        other = self.opposite(some, self.unsure_output)
+        implicit = F.lit(False) if sas else other if stays is None else other & stays
         same = lambda env: all(env.get(n) is self.env[n] for n in self.names)
         if len(self.outputs) == 1 and same(self.outputs[0][1]):
-            return self.df.where(F.coalesce(self.outputs[0][0] | implicit, F.lit(False))).select(*[c.alias(n) for n, c in hidden.items()], F.lit(0).alias("__op"), *[c.alias(n) for n, c in final.items()])
+            out = self.outputs[0][0] if sas else some | stays if stays is not None else F.lit(True)
+            return self.df.where(out).select(*[c.alias(n) for n, c in hidden.items()], F.lit(0).alias("__op"), *[c.alias(n) for n, c in final.items()])
         kinds = {n: self.kind(c) for n, c in final.items()}
         snap = lambda env: F.struct(*[env.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in self.names])
         made = [F.when(g, snap(env)) for g, env in self.outputs] + [F.when(implicit, snap(final))]
