@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import HIDDEN, filled, table, without
+from tidestep.llm.common import HIDDEN, Scratch, filled, table, without
 from tidestep.llm.transducer import chunk_map, total, transducer
 
 CHUNK = 32_768
@@ -69,7 +69,8 @@ def count_tokens(df: DataFrame, text_col: str = "text", name: str = "byte_bpe_50
     base = df.withColumn(text, filled(text_col)).drop(text_col).withColumn("n_bytes", F.octet_length(text).cast("long"))
     short = base.where(F.length(text) <= chunk).withColumn("n_tokens", whole(text)).drop(text)
 
-    long = base.where(F.length(text) > chunk).withColumn(row, F.monotonically_increasing_id())
+    # written once, so that a row has one number however often it is read
+    long = Scratch(df.sparkSession, "long").keep(base.where(F.length(text) > chunk).withColumn(row, F.monotonically_increasing_id()))
     pieces = long.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(_cut(chunk), "row bigint, at bigint, before string, text string")
     maps = pieces.repartition("row", "at").mapInArrow(_maps(name), "row bigint, at bigint, head string, n bigint, tail string")
     each = maps.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "head", "n", "tail"))).alias("maps"))  # two words and a number a chunk
