@@ -22,6 +22,7 @@ No decision is made on hashes alone: contexts are compared as bytes.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from tidestep.llm.suffixes import shares, suffix_array
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1 << 22
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 22
 OUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 NONE = np.iinfo(np.int64).min  # the id of a document without id
 
@@ -139,11 +140,14 @@ class Block:
         """Fixed-width rows of the contexts of some anchors (two lengths, then the bytes), and which are equal."""
         wide = 2 * length
         rows = np.zeros((len(some), wide + 2), np.uint8)
-        span = np.arange(wide)
-        size = self.count[some] + length - 1
+        span = np.arange(wide, dtype=np.int32)
+        size = (self.count[some] + length - 1).astype(np.int32)
         rows[:, 0], rows[:, 1] = self.count[some], self.anchor[some] - self.first[some]
-        take = np.minimum(self.first[some, None] + span, len(self.buf) - 1)
-        rows[:, 2:] = np.where(span < size[:, None], self.buf[take], 0)
+        first = self.first[some].astype(np.int32)
+        for k in range(0, len(some), 1 << 14):
+            part = slice(k, k + (1 << 14))
+            take = np.minimum(first[part, None] + span, np.int32(len(self.buf) - 1))
+            rows[part, 2:] = np.where(span < size[part, None], self.buf[take], 0)
         return rows, size
 
 
@@ -336,6 +340,12 @@ def _result(id_col: str, with_kept: bool) -> str:
     return f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of df: id, ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the bytes that stay).
 
@@ -355,8 +365,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = max(1, -(-total // part_bytes))
     anchors = blocks.mapInArrow(_anchors(parts, length), ANCHORS)
     repeated = scratch.keep(anchors.groupBy("part").applyInArrow(_repeated, REPEATED), "repeated")
+    del anchors
+    _release(spark)
     contexts = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_contexts(parts, length), CONTEXTS)
     marks = scratch.keep(contexts.groupBy("part").applyInArrow(_resolve(length), MARKS), "marks")
+    del contexts
+    _release(spark)
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(length, id_col, with_kept), _result(id_col, with_kept))
 
 
