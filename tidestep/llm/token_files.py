@@ -39,7 +39,7 @@ MOST_PARTS = 65_536
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     end, before = np.array([END_ID], "<u2").tobytes(), 0
     for b in batches:
-        ids = [word_ids(t.as_py()) + end for t in b.column(2)]
+        ids = [word_ids(t.as_py()) + end for t in b.column(2).cast(pa.binary())]
         size = np.array([len(i) // 2 for i in ids], np.int64)
         at = before + np.cumsum(size) - size
         before += int(size.sum())

@@ -16,7 +16,9 @@ import numpy as np
 #: Code points with the Unicode property White_Space (fixed values), as the inside of a regex class.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Words that a memo holds at most; it is emptied when full.
-MEMO = 300_000
+MEMO = 500_000
+#: Runs from this length on are not remembered, and go to the library.
+LONG_WORD = 200
 
 
 def place(name: str) -> str:
@@ -104,17 +106,21 @@ class WordMemo(dict):
 
         self.core = tiktoken.Encoding("word-ends", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode()
         low = word.lower()
-        if len(word) < 200 and self.PLAIN.fullmatch(low) and len(low) == len(word):
-            ranks = [r for part in self.PARTS.findall(low) for r in self.core.encode_single_piece(part.encode() + self.END)]
-            out = b"".join([self.ids[r] for r in ranks])
-        else:
+        if len(word) >= LONG_WORD or len(low) != len(word) or not self.PLAIN.fullmatch(low):
             out = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        elif low != word:
+            out = self[low.encode()]
+        elif self.PARTS.fullmatch(word):
+            out = b"".join([self.ids[r] for r in self.core.encode_single_piece(raw + self.END)])
+        else:
+            out = b"".join([self[part.encode()] for part in self.PARTS.findall(word)])
         if len(self) >= MEMO:
             self.clear()
-        if len(word) < 200:
-            self[word] = out
+        if len(word) < LONG_WORD:
+            self[raw] = out
         return out
 
 
@@ -123,9 +129,7 @@ def word_memo(name: str = "word_bpe_49k.json", kind: str = "<u2") -> WordMemo:
     return WordMemo(name, kind)
 
 
-_BETWEEN = re.compile("[^\t-\r ]+").findall
-
-
-def word_ids(text: str, name: str = "word_bpe_49k.json", kind: str = "<u2") -> bytes:
-    """The ids of a text as little-endian bytes; ids never depend on the other side of white space."""
-    return b"".join(map(word_memo(name, kind).__getitem__, _BETWEEN(text)))
+def word_ids(text: bytes | str, name: str = "word_bpe_49k.json", kind: str = "<u2") -> bytes:
+    """The ids of a text (in UTF-8) as little-endian bytes; ids never depend on the other side of white space."""
+    raw = text.encode() if isinstance(text, str) else text
+    return b"".join(map(word_memo(name, kind).__getitem__, raw.split()))  # bytes split at ASCII white space only
