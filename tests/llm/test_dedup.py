@@ -78,10 +78,11 @@ def brute_components(fps):
     return {i: find(i) for i in ids}
 
 
-def test_simhash_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_simhash_against_brute_force(spark, hot):
     df = odd_documents(spark)
     rows = df.collect()
-    got = simhash_groups(df).collect()
+    got = simhash_groups(df, hot=hot).collect()
     assert len(got) == len(rows)
     fps = {k: slow_fingerprint(r.text) for k, r in enumerate(rows)}
     of = brute_components(fps)

@@ -7,8 +7,9 @@
    its radius, because sum(radius + 1) > distance. Every fingerprint enters the table of each
    segment and also visits the values of the small Hamming ball around its segment; of two
    values that differ in one bit, only the one that has the bit set visits the other.
-4. Fingerprints that meet under one (segment, value) are compared in full. Small meetings
-   give their verified links; in large ones a search that never looks again at a found
+4. Fingerprints that meet under one (segment, value) are compared in full. Where very many
+   meet, they are dealt to blocks and every two blocks meet on their own. Small meetings give
+   their verified links; in large ones a search that never looks again at a found
    fingerprint gives a star for each component instead of all pairs.
 5. Components are joined by distributed star steps (components.py).
 """
@@ -30,6 +31,8 @@ from tidestep.llm.components import components
 SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
 DISTANCE = 4
 SMALL = 16
+#: Visitors from which a (segment, value) is split over several tasks.
+HOT = 50_000
 OUT = ("fingerprint", "component_id")
 ROOT = f"{HIDDEN}root"
 
@@ -140,7 +143,21 @@ def _meetings(distance: int):
     return run
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE, row_col: str | None = None) -> DataFrame:
+def split_hot(visits: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
+    """visits (key, fp) with the keys of more than ``hot`` visitors split: every two blocks of their visitors share a new key."""
+    many = scratch.keep(visits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
+    if not many.count():
+        return visits
+    blocks = F.ceil(F.col("n") / hot).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    # block b meets block c in the cell (min, max); a key that two cells share by chance only means a check in vain
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
+    joined = visits.join(many, "key", "left")
+    keys = F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)
+    return joined.select(F.explode(keys).alias("key"), "fp")
+
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE, row_col: str | None = None, hot: int = HOT) -> DataFrame:
     """One row per row of df: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Lower-cases A-Z, takes words between ASCII white space and shingles of ``width`` words
@@ -165,6 +182,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     visits = each.select("fp").mapInArrow(_visits, "key bigint, fp bigint")
+    visits = split_hot(visits, hot, scratch)
     meetings = visits.repartition(parts, "key").sortWithinPartitions("key")
     edges = meetings.mapInArrow(_meetings(distance), "u bigint, v bigint").distinct()
     roots = components(edges, scratch)
