@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ MARKS = "block bigint, n bigint, body binary"
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _arrays(body: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
@@ -75,7 +76,7 @@ def _pack(most: int):
 
         def out() -> pa.RecordBatch:
             ids, sizes = np.array([i for i, _ in held], "<i8"), np.array([len(t) for _, t in held], "<i8")
-            text = zstandard.ZstdCompressor(level=1).compress(b"".join(t for _, t in held))
+            text = zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in held))
             return _batch(BLOCKS, [((part << 32) + number, ids.tobytes(), sizes.tobytes(), text)])
 
         for b in batches:
@@ -203,7 +204,7 @@ def _contexts(parts: int, length: int):
         if left.num_rows and right.num_rows:
             block, ids, sizes, text = (left.column(k)[0].as_py() for k in range(4))
             x = Block(ids, sizes, text, length)
-            part, value = x.hash % np.uint64(parts), (x.hash // np.uint64(parts)).astype(np.uint32)
+            part = x.hash % np.uint64(parts)
             by = np.lexsort((x.hash, part))
             edge = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
             for p, bits in zip(right.column("part").to_pylist(), right.column("bits").to_pylist(), strict=True):
@@ -216,17 +217,18 @@ def _contexts(parts: int, length: int):
                 low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
                 np.minimum.at(low, number, x.doc[some])
                 np.maximum.at(high, number, x.doc[some])
-                by_value = np.argsort(value[some[first]], kind="stable")
-                first, low, high = first[by_value], low[by_value], high[by_value]
-                rows.append((p, block, len(first), _squeeze(some[first].astype("<u4"), value[some[first]].astype("<u4"), low.astype("<i8"), high.astype("<i8"), wide[first])))
+                rows.append((p, block, len(first), _squeeze(some[first].astype("<u4"), low.astype("<i8"), high.astype("<i8"), wide[first])))
         return pa.Table.from_batches([_batch(CONTEXTS, rows)])
 
     return run
 
 
-def least_ids(rows: np.ndarray, low: np.ndarray, value: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For distinct contexts, runs (context, first window, end window, least id that has these windows)."""
     windows = rows[:, 0].astype(np.int64)
+    # contexts that share no window have other anchors; those of one anchor lie together
+    gram = np.take_along_axis(rows, 2 + rows[:, 1:2].astype(np.int64) + np.arange(GRAM), axis=1).view("<u8")
+    value = gram[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ gram[:, 1]
     order = np.argsort(value, kind="stable")
     v = value[order]
     shared = np.zeros(len(v), bool)
@@ -265,14 +267,14 @@ def _resolve(length: int):
     def run(group: pa.Table) -> pa.Table:
         block, count, body = (group.column(n).to_pylist() for n in ("block", "n", "body"))
         order = sorted(range(len(block)), key=block.__getitem__)
-        got = [_arrays(body[k], ("<u4", count[k]), ("<u4", count[k]), ("<i8", count[k]), ("<i8", count[k]), ("u1", count[k] * wide)) for k in order]
-        rows = np.concatenate([g[4] for g in got]).reshape(-1, wide)
-        low, high, value, anchor = (np.concatenate([g[k] for g in got]) for k in (2, 3, 1, 0))
+        got = [_arrays(body[k], ("<u4", count[k]), ("<i8", count[k]), ("<i8", count[k]), ("u1", count[k] * wide)) for k in order]
+        rows = np.concatenate([g[3] for g in got]).reshape(-1, wide)
+        anchor, low, high = (np.concatenate([g[k] for g in got]) for k in (0, 1, 2))
         origin = np.repeat(np.arange(len(order)), [count[k] for k in order])
         first, number = _equal_rows(rows)
         best = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(best, number, low)
-        who, start, end, least = least_ids(rows[first], best, value[first], length)
+        who, start, end, least = least_ids(rows[first], best, length)
         # each run back to every block that has the context in a document of greater id
         by = np.argsort(number, kind="stable")
         edge = np.searchsorted(number[by], np.arange(len(first) + 1))
@@ -342,8 +344,10 @@ def _result(id_col: str, with_kept: bool) -> str:
 
 def _release(spark: SparkSession) -> None:
     """Shuffle files of finished steps go when the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first collection frees may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
