@@ -42,21 +42,23 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/tidestep/{label}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """df written as Parquet and read again."""
-        self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
+        path = f"{self.root}/{len(self.paths)}-{name}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = path
+        self.held.append(kept)  # so that no other frame gets its id
+        return kept
 
     def drop(self, df: DataFrame | None = None) -> None:
         """Delete the files of one kept table, or all of them."""
         jvm = self.spark._jvm
-        for path in [self.root] if df is None else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p = jvm.org.apache.hadoop.fs.Path(self.root if df is None else self.paths[id(df)])
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
