@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidestep.functions.formats import format_column
 from tidestep.functions.missing import Missing, compare
-from tidestep.functions.types import CHAR, get_type
+from tidestep.functions.types import CHAR, DECIMAL, get_type
 from tidestep.plans import ir
 from tidestep.plans.order import NUMBER, TOTAL, keys, look_back, numbered
 from tidestep.sources.dialects import Declaration
@@ -334,7 +334,7 @@ class Lowering:
             value = F.coalesce(value, F.lit(False))  # a comparison is true or false
         if d is not None:
             out = get_type(d.stype).column(value, k, d.length if d.stype == CHAR else d.scale)
-            return out.cast(d.data_type) if d.stype != "num" else out
+            return out.cast(d.data_type) if d.stype in (CHAR, DECIMAL) else out
         old = self.env.get(target)
         if old is not None:
             was = self.kind(old)

@@ -72,7 +72,7 @@ DIALECTS = {d.name: d for d in (POSTGRESQL, MYSQL, ORACLE, SQLSERVER)}
 
 @dataclass(frozen=True)
 class Declaration:
-    """A declared variable and the Spark type that holds it."""
+    """A declared variable and the Spark type that holds it (none for a registered type, whose coercer decides)."""
 
     name: str
     stype: str
@@ -85,7 +85,7 @@ class Declaration:
     def data_type(self) -> T.DataType:
         if self.stype == DECIMAL:
             return T.DecimalType(min(38, self.precision or 38), self.scale if self.scale is not None else 10)
-        return T.StringType() if self.stype == CHAR else T.DoubleType()
+        return T.StringType() if self.stype == CHAR else T.DoubleType() if self.stype == NUM else T.NullType()
 
 
 _TYPE = re.compile(r"\s*([A-Za-z][A-Za-z0-9_ ]*?)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?\s*")
