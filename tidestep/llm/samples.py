@@ -17,8 +17,9 @@ def remainder(id_col: str, mod: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, y) of at most ``rows`` labelled documents, chosen by hash of the id.
 
-    The chosen ids are a bounded table and are broadcast, so no text is shuffled. Rows
-    without id or label are left out; of labels that differ for one id the larger counts.
+    The chosen ids are a bounded table and are broadcast, so only their texts are shuffled.
+    Rows without id or label are left out; of labels or texts that differ for one id the
+    greater counts.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & usable)
@@ -28,4 +29,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
         .limit(rows)
     )
     texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), id_col).select("text", "y")
+    found = texts.join(F.broadcast(chosen), id_col)
+    return found.groupBy(id_col).agg(F.max("text").alias("text"), F.max("y").alias("y")).select("text", "y")
