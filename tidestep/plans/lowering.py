@@ -272,10 +272,15 @@ class Lowering:
             self.made += 1
             self.df = look_back(self.df, {name: (held, depth)})
             return F.col(name)
-        # the queue only moves on rows that come here
+        # the queue only moves on rows that come here: they are numbered on their own
         g = F.col(self.keep(F.coalesce(guard, F.lit(False))))
-        held = F.col(self.keep(x))
-        return F.when(g, F.lag(held, depth).over(Window.partitionBy(g).orderBy(*keys(self.order))))
+        held = self.keep(x)
+        self.made += 1
+        name, number, total = f"__s{self.made}", f"__n{self.made}", f"__t{self.made}"
+        here = look_back(numbered(self.df.where(g), self.order, number, total), {name: (held, depth)}, number).drop(number, total)
+        others = self.df.where(~g).withColumn(name, F.lit(None).cast(self.kind(x)))
+        self.df = here.unionByName(others)
+        return F.col(name)
 
     # statements
 

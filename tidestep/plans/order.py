@@ -36,8 +36,8 @@ def keys(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with NUMBER (1-based place in the order) and TOTAL.
+def numbered(df: DataFrame, order: list[str], number: str = NUMBER, total: str = TOTAL) -> DataFrame:
+    """df with a 1-based place in the order and the number of rows.
 
     Range partitions are sorted each on its own; the numbers of earlier partitions' rows are
     added, a table with one row for each partition.
@@ -49,13 +49,13 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     part, within = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
     before = Window.orderBy("__obs_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(part.alias("__obs_part")).agg(F.count(F.lit(1)).alias("__obs_c"))
-    offsets = offsets.select("__obs_part", F.coalesce(F.sum("__obs_c").over(before), F.lit(0)).alias("__obs_o"), F.sum("__obs_c").over(Window.partitionBy()).alias(TOTAL))
+    offsets = offsets.select("__obs_part", F.coalesce(F.sum("__obs_c").over(before), F.lit(0)).alias("__obs_o"), F.sum("__obs_c").over(Window.partitionBy()).alias(total))
     out = placed.withColumn("__obs_part", part).join(F.broadcast(offsets), "__obs_part")  # one row a partition
-    return out.withColumn(NUMBER, F.col("__obs_o") + within + 1).drop("__obs_part", "__obs_o", at)
+    return out.withColumn(number, F.col("__obs_o") + within + 1).drop("__obs_part", "__obs_o", at)
 
 
-def look_back(df: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
-    """df, which has NUMBER, with each new column: the value of a column n rows before.
+def look_back(df: DataFrame, wanted: dict[str, tuple[str, int]], number: str = NUMBER) -> DataFrame:
+    """df, which is numbered, with each new column: the value of a column n rows before.
 
     Rows are dealt out in blocks of the numbering; the last rows of a block go to the next one
     as well, so no block needs another.
@@ -63,8 +63,8 @@ def look_back(df: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
     most = max(n for _, n in wanted.values())
     block, ghost = "__obs_block", "__obs_ghost"
     size = max(BLOCK, most)
-    own = df.withColumn(block, F.floor((F.col(NUMBER) - 1) / size)).withColumn(ghost, F.lit(False))
-    tail = own.where((F.col(NUMBER) - 1) % size >= size - most).withColumns({block: F.col(block) + 1, ghost: F.lit(True)})
-    window = Window.partitionBy(block).orderBy(NUMBER)
+    own = df.withColumn(block, F.floor((F.col(number) - 1) / size)).withColumn(ghost, F.lit(False))
+    tail = own.where((F.col(number) - 1) % size >= size - most).withColumns({block: F.col(block) + 1, ghost: F.lit(True)})
+    window = Window.partitionBy(block).orderBy(number)
     both = own.unionByName(tail).withColumns({name: F.lag(c, n).over(window) for name, (c, n) in wanted.items()})
     return both.where(~F.col(ghost)).drop(block, ghost)
