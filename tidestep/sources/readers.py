@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import pickle
+import tempfile
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -37,39 +39,47 @@ def set_source(df: DataFrame, by: Sequence[str] = (), order_by: Sequence[str] =
 
 
 def from_dicts(spark: SparkSession, rows: Iterable[dict], order: str = "_obs", chunk: int = 10_000) -> DataFrame:
-    """Row dictionaries as a DataFrame with their place in a column; a None row ends the input; absent keys are NULL."""
-    out: DataFrame | None = None
-    held, schema, n = [], None, 0
+    """Row dictionaries as a DataFrame with their place in a column; a None row ends the input; absent keys are NULL.
+
+    The schema is that of all rows, whatever the chunk: chunks wait in a temporary file of the
+    driver until all names and types are known.
+    """
+    found: dict[str, set[type]] = {}
+    held, n = [], 0
 
     def plain(v: Any) -> Any:
         return None if isinstance(v, Missing) else v
 
-    def frame() -> DataFrame:
-        names = list(dict.fromkeys(k for r in held for k in r if k != order)) if schema is None else schema.names[:-1]
-        if schema is None:
-            fields = []
-            for c in names:
-                kinds = {type(plain(r.get(c))) for r in held} - {type(None)}
-                kind = T.StringType() if str in kinds else T.DoubleType() if float in kinds else T.LongType() if kinds & {int, bool} else T.DecimalType(38, 10) if Decimal in kinds else T.TimestampNTZType() if datetime.datetime in kinds else T.DateType() if datetime.date in kinds else T.DoubleType()
-                fields.append(T.StructField(c, kind))
-            use = T.StructType([*fields, T.StructField(order, T.LongType())])
-        else:
-            use = schema
-        convert = {T.StringType(): str, T.DoubleType(): float, T.LongType(): int}
-        data = [tuple(None if plain(r.get(f.name)) is None else convert.get(f.dataType, lambda v: v)(r[f.name]) for f in use.fields) for r in held]
-        return spark.createDataFrame(data, use)
-
-    for r in rows:
-        if r is None:
-            break
-        held.append({**r, order: n})
-        n += 1
-        if len(held) >= chunk:
-            part = frame()
-            schema, held = part.schema, []
+    def kind(kinds: set[type]) -> T.DataType:
+        return T.StringType() if str in kinds else T.DoubleType() if float in kinds else T.DecimalType(38, 10) if Decimal in kinds else T.LongType() if kinds & {int, bool} else T.TimestampNTZType() if datetime.datetime in kinds else T.DateType() if datetime.date in kinds else T.DoubleType()
+
+    with tempfile.TemporaryFile() as spool:
+        for r in rows:
+            if r is None:
+                break
+            row = {c: plain(v) for c, v in r.items() if c != order}
+            for c, v in row.items():
+                found.setdefault(c, set()).update(() if v is None else (type(v),))
+            held.append({**row, order: n})
+            n += 1
+            if len(held) >= chunk:
+                pickle.dump(held, spool)
+                held = []
+        spooled = spool.tell()
+        spool.seek(0)
+        use = T.StructType([*(T.StructField(c, kind(kinds)) for c, kinds in found.items()), T.StructField(order, T.LongType())])
+        convert = {T.StringType(): str, T.DoubleType(): float, T.LongType(): int, T.DecimalType(38, 10): Decimal}
+
+        def frame(part: list[dict]) -> DataFrame:
+            data = [tuple(None if r.get(f.name) is None else convert.get(f.dataType, lambda v: v)(r[f.name]) for f in use.fields) for r in part]
+            return spark.createDataFrame(data, use)
+
+        out: DataFrame | None = None
+        while spool.tell() < spooled:
+            part = frame(pickle.load(spool))
             out = part if out is None else out.unionByName(part)
     if held or out is None:
-        part = frame()
+        part = frame(held)
         out = part if out is None else out.unionByName(part)
     return out
 
