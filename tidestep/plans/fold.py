@@ -154,7 +154,9 @@ def infer_schema(source: Source, body: tuple[ir.Node, ...] | None, retain: dict[
 
     for name, init in retain.items():
         types[name] = join(types.get(name), of_value(init))
-    for _ in range(4):
+    before = None
+    while types != before:  # a join only ever widens, so this ends
+        before = dict(types)
         for s in body:
             for a in s.walk():
                 if isinstance(a, ir.Assign) and a.target not in declared:
