@@ -1,0 +1,63 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from llm.test_dedup import normal, slow_fingerprint
+from llm.util import odd_documents
+from tidestep.llm import shingle_dedup
+from tidestep.llm.common import Scratch
+from tidestep.llm.shingle_dedup import ROW, one_of_each_similar, similar_pairs
+
+
+def shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in normal(text)).split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(rng, n=60):
+    """Texts with one to three changed words, some around 0.8, with a line that all share."""
+    words = [f"w{k}" for k in range(400)]
+    out = []
+    for _ in range(n):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 12, 40, 90]))]
+        base += "one line that very many of the texts have in common".split() * rng.choice([0, 1])
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.choice([0, 1, 2, 3])):
+                copy[at] = rng.choice(words).upper()
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("common", [2000, 3])
+def test_similar_pairs_against_brute_force(spark, common, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "COMMON", common)
+    texts = [*edited(random.Random(4)), *(r.text for r in odd_documents(spark).select("text").collect())]
+    df = spark.createDataFrame(list(enumerate(texts)), f"{ROW} bigint, text string")
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = similar_pairs(df, "text", Scratch(spark, "test")).collect()
+    assert len(want) > 50 and len(got) == len(want) and {(r.u, r.v) for r in got} == want
+
+
+def test_pipeline_drops_similar_texts_of_distant_fingerprints(spark):
+    rng, texts = random.Random(1), []
+    while len(texts) < 8:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        copy = base[:30] + ["new"] + base[31:70] + ["new"] + base[71:]
+        a, b = " ".join(base), " ".join(copy)
+        if (slow_fingerprint(a) ^ slow_fingerprint(b)).bit_count() > 4:
+            texts += [a, b]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES[names.index("exact_dedup") : names.index("mixing")]:
+        docs = stage(spark, docs, "")
+    assert sorted(r.doc_id for r in docs.collect()) == [0, 2, 4, 6]
+
+
+def test_odd_rows_and_empty_table(spark):
+    df = spark.createDataFrame([(2, "a b"), (1, "A  b"), (None, "a b"), (3, None), (4, ""), (5, " "), (6, "a b c")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in one_of_each_similar(df).collect()) == [1, 3, 4, 5, 6]
+    assert one_of_each_similar(df.limit(0)).collect() == []

@@ -1,0 +1,90 @@
+"""Near-duplicates by verified similarity of word shingles: an exact set-similarity join.
+
+1. A text is the set of its shingles of five words. Shingles get one order for all texts: the
+   common ones of a sample last, the others by hash. Any order gives the same links; this one
+   keeps common lines out of the prefixes.
+2. If two sets of sizes a and b share at least 4/9 (a + b) shingles, which is Jaccard 0.8 or
+   more, then their prefixes of n - ceil(0.8 n) + 1 shingles share one. Texts that meet there
+   and can still reach the overlap by their sizes and by the place of the shingle are candidates.
+3. Candidates are compared in full; components are joined by star steps (components.py).
+
+DataFrame operations only.
+"""
+
+from __future__ import annotations
+
+import string
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidestep.llm.common import HIDDEN, SPACES, Scratch, filled, without
+from tidestep.llm.components import components
+
+WIDTH = 5
+#: Texts looked at for common shingles, how many of these are held, and how often one must be seen.
+SAMPLE, COMMON, SEEN = 10_000, 2_000, 4
+ROW = f"{HIDDEN}row"
+
+
+def with_shingles(df: DataFrame, text_col: str, *carry: str) -> DataFrame:
+    """carry and ``s``: the distinct XXH64 of the shingles of each text with words; fewer than five words are one shingle."""
+    low = F.translate(filled(text_col), string.ascii_uppercase, string.ascii_lowercase)
+    words = df.select(*carry, F.filter(F.split(low, f"[{SPACES}]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    # single items, as slice() would copy the whole array each time
+    shingle = lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(F.col("w"), i + k) for k in range(WIDTH))))
+    return words.select(*carry, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WIDTH)), shingle)).alias("s"))
+
+
+def common_shingles(df: DataFrame, text_col: str) -> list[int]:
+    """Common shingles of a sample, the rarest first. They only steer the order."""
+    every = max(1, df.count() // SAMPLE)
+    sample = with_shingles(df.where(F.pmod(F.xxhash64(ROW), F.lit(every)) == 0), text_col)
+    # outer, though no array is empty: else Spark filters by size below, where the words would be split anew for each shingle
+    counts = sample.select(F.explode_outer("s").alias("h")).groupBy("h").count().where(F.col("count") >= SEEN)
+    return [r.h for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()][::-1]
+
+
+def similar(a: Column, b: Column, overlap: Column) -> Column:
+    """Whether sets of sizes a and b with this overlap have Jaccard 0.8 or more."""
+    return 9 * overlap >= 4 * (a + b)
+
+
+def candidates(df: DataFrame, text_col: str) -> DataFrame:
+    """(u, v), u > v: rows that may be similar; none that are is missing."""
+    common = common_shingles(df, text_col)
+    held = F.split(F.lit(",".join(map(str, common))), ",").cast("array<bigint>") if common else F.array().cast("array<bigint>")
+    sets = with_shingles(df, text_col, ROW)
+    n = F.size("s")
+    ordered = F.concat(F.sort_array(F.array_except("s", held)), F.array_intersect(held, F.col("s")))
+    prefix = F.slice(ordered, F.lit(1), n - F.floor((4 * n + 4) / 5).cast("int") + 1)
+    keys = sets.select(ROW, n.alias("n"), F.posexplode_outer(prefix).alias("at", "key"))
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{x}") for c in (ROW, "n", "at"))) for x in "ab")
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col(f"{ROW}_a") > F.col(f"{ROW}_b")) & similar(F.col("n_a"), F.col("n_b"), most))
+    return met.select(F.col(f"{ROW}_a").alias("u"), F.col(f"{ROW}_b").alias("v")).distinct()
+
+
+def similar_pairs(df: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """(u, v), u > v: all pairs of rows whose texts have Jaccard 0.8 or more."""
+    pairs = scratch.keep(candidates(df, text_col), "candidates")
+    nodes = pairs.select(F.col("u").alias(ROW)).unionByName(pairs.select(F.col("v").alias(ROW))).distinct()
+    sets = scratch.keep(with_shingles(df.join(nodes, ROW, "left_semi"), text_col, ROW), "sets")
+    both = pairs.join(sets.select(F.col(ROW).alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col(ROW).alias("v"), F.col("s").alias("b")), "v")
+    return both.where(similar(F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b")))).select("u", "v")
+
+
+def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of similar texts: that with the smallest id.
+
+    Texts are similar if the sets of their shingles of five words (A-Z lower-cased, ASCII white
+    space) have Jaccard 0.8 or more. Columns and texts are those of docs. Null, empty and
+    all-space texts stay. Null ids come last, then row order decides.
+    """
+    scratch = Scratch(docs.sparkSession, "shingles")
+    kept = scratch.keep(without(docs).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    roots = components(similar_pairs(kept, text_col, scratch), scratch)
+    ids = roots.join(kept.select(F.col(ROW).alias("node"), F.col(id_col).alias("id")), "node")
+    best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("b"))
+    gone = roots.join(best, "root").where("node != b.node").select(F.col("node").alias(ROW))
+    return kept.join(scratch.keep(gone, "gone"), ROW, "left_anti").drop(ROW)
