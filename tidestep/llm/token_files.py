@@ -14,7 +14,6 @@ Parts are ranges of document ids in ascending order, and ``before`` ascends with
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -86,7 +85,8 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     """Write the ids of every text, each followed by the end id, in ascending order of id.
 
     Null and empty texts have the end id alone. Null ids come first. Rows of equal id are
-    ordered by a hash of their text; repeated rows stay repeated. Other columns are not read.
+    ordered by a hash of their text; repeated rows stay repeated. Texts of any length are
+    written whole. Other columns are not read.
     An empty table gives files without segments.
     """
     spark = df.sparkSession
@@ -96,9 +96,6 @@ def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col
     slim = df.select(F.col(id_col).alias("id"), filled(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     ranged = slim.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").select(F.spark_partition_id().alias("part"), "id", "text")
     held = scratch.keep(ranged.mapInArrow(_tokenized, f"part int, before bigint, id {kind}, n bigint, ids binary"), "ids")
-    del ranged, slim
-    gc.collect()
-    spark._jvm.System.gc()  # shuffle files go when the driver has collected its garbage
 
     counted = held.select("ids").mapInArrow(_histogram, "sym bigint, n bigint").groupBy("sym").agg(F.sum("n").alias("n")).collect()  # at most one row per id
     counts = np.zeros(VOCABULARY, np.int64)
