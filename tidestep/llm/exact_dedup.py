@@ -8,12 +8,12 @@
 3. These candidates, at most ``counters``, are counted exactly; the verified winners are
    broadcast, and their rows are decided map-side, without a shuffle.
 4. All other digests have groups of at most 1/counters of the rows, so an ordinary hash
-   shuffle on the digest stays even.
+   shuffle on the digest stays even: a grouped minimum and count, joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidestep.llm.common import HIDDEN, SPACES, Scratch, filled, table, without
@@ -29,12 +29,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     Null texts count as empty, so null and empty texts are one group. Null ids come after
     all others; keep_id is null only if the whole group has null ids. Repeated rows (same id
-    and text) are ordinary copies of which one stays. An empty table gives an empty result.
+    and text) are ordinary copies of which one stays; ties between rows of one id go to the
+    earlier row. Texts of any length count whole, as one digest each. An empty table gives an
+    empty result.
     Input columns named like an output column are replaced. Other columns pass through.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "exact")
-    row, first, heavy = f"{HIDDEN}row", f"{HIDDEN}first", f"{HIDDEN}heavy"
+    row, first = f"{HIDDEN}row", f"{HIDDEN}first"
     df = without(df, *OUT)
     text = F.regexp_replace(filled(text_col), f"[{SPACES}]+", " ")
     keyed = df.withColumn("text_sha256", F.sha2(text.cast("binary"), 256))
@@ -57,15 +59,30 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         )
         winners = scratch.keep(counted, "winners")  # fewer than `counters` rows
 
-    each = Window.partitionBy("text_sha256")
     light = keyed if winners is None else keyed.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    parts = light.withColumns({first: F.min(order).over(each), "group_size": F.count(F.lit(1)).over(each)})
+    # combined map-side; the rows stream past one fact a digest, so no group is ever held
+    facts = light.groupBy("text_sha256").agg(F.min(order).alias(first), F.count(F.lit(1)).alias("group_size"))
+    parts = light.join(facts, "text_sha256")
     if winners is not None:
         parts = parts.unionByName(keyed.join(F.broadcast(winners), "text_sha256"))
     kept = F.col(first)["row"] == F.col(row)
     return parts.withColumns({"keep_id": F.col(first)["id"], "kept": kept}).select(*[c for c in keyed.columns if c not in (row, "text_sha256")], *OUT)
 
 
+def one_of_each_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts: that with the smallest id.
+
+    Nulls, ties and repeated rows as in ``exact_dedup``. Columns and texts are those of docs.
+    Texts don't go through its shuffles: the rows to drop are a table of their own, which
+    Spark broadcasts only while it is small.
+    """
+    scratch, row = Scratch(docs.sparkSession, "exact-keep"), f"{HIDDEN}n"
+    rows = scratch.keep(without(docs).withColumn(row, F.monotonically_increasing_id()), "rows")
+    decided = exact_dedup(rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", carry=False)
+    gone = scratch.keep(decided.where("not kept").select(F.col("row").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").drop(row)
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, carry=False).select("doc_id", *OUT)
