@@ -5,18 +5,21 @@ Lengths are whole numbers up to the capacity, so the whole problem is a histogra
 and configurations meet, however many documents there are.
 
 1. Large lengths, in descending order, are cut into groups of equal cardinality and rounded
-   up to the longest of their group.
+   up to the longest of their group. Groups that one frequent length fills have one size and
+   count as one group.
 2. A linear program over all configurations of these few sizes gives how often to use each.
 3. Actual documents take the places of rounded ones, which leaves room.
 4. What rounding down left over, and then the small lengths, go best-fit into the room that
    is left, and then into new sequences.
 
 The plan says for the r-th piece of a length where it goes. Pieces are numbered by length in
-parallel: a hash deals them to buckets, bucket counts give offsets.
+parallel: a hash deals them to buckets (more the more pieces, up to a bound), bucket counts
+give offsets, and each bucket is sorted on its own.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +38,8 @@ GROUPS = 128
 #: Lengths over capacity / LARGE are large.
 LARGE = 4
 ROWS_A_BUCKET = 256
+#: Buckets of one length at most, so that the running sum over its buckets stays small.
+MOST_BUCKETS = 1 << 14
 
 
 class Plan:
@@ -164,7 +169,7 @@ def _best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) ->
     return float(best[capacity]), tuple(sorted(out))
 
 
-def cover(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 1200) -> dict[tuple[int, ...], float]:
+def cover(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 5000) -> dict[tuple[int, ...], float]:
     """How often to use each configuration so that all needs are met by the fewest uses in total.
 
     A linear program over all configurations, solved by the revised simplex method; a
@@ -174,16 +179,19 @@ def cover(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 1200
     configs: list[tuple[int, ...]] = [(g,) * int(capacity // sizes[g]) for g in range(m)]
     basis = np.diag([float(len(c)) for c in configs])
     x = need * (1 + 1e-9 * np.arange(1, m + 1)) / np.diag(basis)  # a trace of difference keeps the method from cycling
-    for _ in range(rounds):
+    for step in range(rounds + 1):
+        if step == rounds:  # every basis meets all needs; more rounds would only save sequences
+            warnings.warn(f"the linear program was not solved in {rounds} rounds; its last solution is used", stacklevel=2)
+            break
         price = np.linalg.solve(basis.T, np.ones(m))
         gain, config = _best_configuration(sizes, np.maximum(price, 0), capacity)
         if gain < 1 + 1e-6:
             break
         column = np.bincount(config, minlength=m).astype(float)
-        step = np.linalg.solve(basis, column)
-        ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
+        move = np.linalg.solve(basis, column)
+        ratio = np.where(move > 1e-9, x / np.where(move > 1e-9, move, 1), np.inf)
         out = int(np.argmin(ratio))
-        x = np.maximum(x - ratio[out] * step, 0)
+        x = np.maximum(x - ratio[out] * move, 0)
         x[out], configs[out], basis[:, out] = ratio[out], config, column
     found: dict[tuple[int, ...], float] = {}
     for c, v in zip(configs, x, strict=True):
@@ -219,7 +227,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lie without gaps from offset 0.
 
     Null and empty texts are documents of the end id alone. Null ids and repeated rows are
-    packed like others. An empty table gives an empty result. Other columns are not read.
+    packed like others. Texts of any length are tokenized whole. An empty table gives an empty
+    result. Other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "pack")
@@ -230,7 +239,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(Plan(counts, capacity).arrays())
-    spread = spark.createDataFrame([(int(n), -(-c // ROWS_A_BUCKET)) for n, c in counts.items()], "length bigint, buckets bigint")
+    spread = spark.createDataFrame([(int(n), min(MOST_BUCKETS, -(-c // ROWS_A_BUCKET))) for n, c in counts.items()], "length bigint, buckets bigint")
     key = F.xxhash64("id", "piece", "crc")
     keyed = pieces.join(F.broadcast(spread), "length").withColumn("bucket", F.pmod(key, "buckets")).drop("buckets")
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
