@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -6,12 +7,13 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm.util import odd_documents, prose
-from tidestep.llm.common import Scratch
+from tidestep.llm.common import Scratch, join_facts, recording, without
 from tidestep.llm.components import components
-from tidestep.llm.exact_dedup import exact_dedup
-from tidestep.llm.simhash import _links, fingerprint, one_of_each_group, simhash_groups
+from tidestep.llm.exact_dedup import exact_dedup, one_of_each_text
+from tidestep.llm.simhash import _links, fingerprint, simhash_groups
 
 
 def normal(text):
@@ -36,6 +38,30 @@ def test_exact_against_brute_force(spark):
             kept[normal(r.text)] += r.kept
             assert not r.kept or r.doc_id == r.keep_id
         assert set(kept.values()) == {1} and len(kept) == len(groups)
+    one = one_of_each_text(df)
+    assert one.columns == df.columns
+    assert sorted((normal(r.text), str(r.doc_id)) for r in one.collect()) == sorted((t, str(min((x.doc_id for x in g if x.doc_id is not None), default=None))) for t, g in groups.items())
+    assert one_of_each_text(df.limit(0)).collect() == []
+
+
+def test_internal_names_are_an_error_and_scratch_goes(spark):
+    with pytest.raises(ValueError, match="__td_x"):
+        without(spark.range(1).withColumn("__td_x", F.lit(1)))
+    with recording() as made:
+        scratch = Scratch(spark, "test")
+    kept = scratch.keep(spark.range(5))
+    path = scratch.paths[id(kept)].removeprefix("file://")
+    assert made == [scratch] and os.path.isdir(path)
+    scratch.drop()
+    assert not os.path.isdir(path)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_facts_splits_hot_keys(spark, how):
+    rows = spark.range(900).selectExpr("id", "if(id % 3 = 0, -1, id) as k")
+    facts = spark.range(-1, 500).selectExpr("id as k", "id * 2 as f")
+    got = sorted(map(tuple, join_facts(rows, facts, "k", how, parts=10).select("id", "k", "f").collect()), key=str)
+    assert got == sorted(map(tuple, rows.join(facts, "k", how).select("id", "k", "f").collect()), key=str)
 
 
 def test_exact_hot_group_and_empty_table(spark):
@@ -92,8 +118,6 @@ def test_simhash_against_brute_force(spark, hot):
             least[of[k]].append(r.doc_id)
     want = sorted((str(r.doc_id), f"{fps[k]:016x}", str(min(least[of[k]], default=None))) for k, r in enumerate(rows))
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
-    kept = one_of_each_group(df)
-    assert kept.columns == df.columns and kept.count() == len(set(of.values()))
     assert simhash_groups(df.limit(0)).collect() == []
 
 

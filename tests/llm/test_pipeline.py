@@ -4,14 +4,18 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from llm.test_dedup import brute_components, slow_fingerprint
 from llm.test_mix_pack import brute_targets, check_sequences
+from llm.test_similar import brute, components, shingles
 from llm.util import data, odd_documents, there
 from tidestep.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_are_those_of_the_contract():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "mixing", "packing"]
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
@@ -37,7 +41,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         least.setdefault(norm(r.text), r.doc_id)
     assert sorted(r.doc_id for r in b) == sorted(least.values())
     a, b = by["simhash_dedup"]
-    assert sorted(r.doc_id for r in b) == sorted(set(brute_components({r.doc_id: slow_fingerprint(r.text) for r in a}).values()))
+    least = {}
+    for r in a:
+        least[shingles(r.text)] = min(r.doc_id, least.get(shingles(r.text), r.doc_id))
+    groups = components(list(least), brute(list(least)))
+    assert sorted(r.doc_id for r in b) == sorted(min(least[s] for s in g) for g in groups)
     a, b = by["mixing"]
     sizes, out, text = defaultdict(int), defaultdict(int), {r.doc_id: r.text for r in a}
     for r in a:

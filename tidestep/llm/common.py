@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,18 +40,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Removes the shuffle files of a query when it has ended, without waiting for the driver's garbage collector.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+    """Tables written to the shared folder, which cut lineage and survive lost executors.
+
+    An operator that gives its result as a table of its own drops the rest itself. One whose
+    result still reads scratch tables leaves them; ``recording`` lets the caller drop these
+    when the result is written.
+    """
+
+    recorders: ClassVar[list[list[Scratch]]] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/tidestep/{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.held: list[DataFrame] = []
+        for made in Scratch.recorders:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """df written as Parquet and read again."""
+        """df written as Parquet and read again; its shuffle files go at once."""
         path = f"{self.root}/{len(self.paths)}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.select("*").write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         self.held.append(kept)  # so that no other frame gets its id
@@ -61,13 +82,42 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def recording() -> Iterator[list[Scratch]]:
+    """The Scratch objects made inside the block."""
+    made: list[Scratch] = []
+    Scratch.recorders.append(made)
+    try:
+        yield made
+    finally:
+        Scratch.recorders.remove(made)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns that would clash with an operator's output or internal columns."""
+    """df without columns that would clash with an operator's output.
+
+    Names that begin with ``__td_`` are the operators' own; an input that has one is an error.
+    """
+    if own := [c for c in df.columns if c.lower().startswith(HIDDEN)]:
+        raise ValueError(f"columns {own} have the prefix of internal ones; rename them")
     low = {n.lower() for n in names}
-    gone = [c for c in df.columns if c.lower() in low or c.lower().startswith(HIDDEN)]
+    gone = [c for c in df.columns if c.lower() in low]
     return df.drop(*gone) if gone else df
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", parts: int = 1024) -> DataFrame:
+    """rows joined with facts, which have one row for a key, without hot keys in the shuffle.
+
+    Keys that hold more than 1/parts of all rows are fewer than ``parts``: their facts are
+    broadcast. rows should be a written table, for it is read three times.
+    """
+    total = rows.count()
+    heavy = rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"{HIDDEN}n")).where(F.col(f"{HIDDEN}n") * parts > total).select(key)
+    light = rows.join(F.broadcast(heavy), key, "left_anti").join(facts, key, how)
+    hot = facts.join(F.broadcast(heavy), key, "left_semi") if how == "inner" else heavy.join(facts, key, how)
+    return light.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def filled(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

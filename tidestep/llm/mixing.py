@@ -71,8 +71,11 @@ def mix_sources(
 
     Null and empty texts have size 0 and give nothing. Null sources are one source, last in
     order. Null ids share one key; rows that share a key are ordered by id, size and row, so
-    repeated rows each take their own turn. An empty table gives an empty result. Input
-    columns named like an output column are replaced.
+    repeated rows each take their own turn. Texts of any length are counted whole. An empty
+    table gives an empty result. Input columns named like an output column are replaced.
+
+    Targets are settled in one task over one row a source, so sources may be many (hosts, say)
+    but must fit a sort; documents never go there.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
@@ -107,7 +110,10 @@ def mix_sources(
 
 
 def emitted(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """A mix as documents: each row as often as it is taken, a last copy in part cut after its words."""
+    """A mix as documents: each row as often as it is taken, a last copy in part cut after its words.
+
+    Rows of which nothing is taken, so all rows without words, are not in it.
+    """
     copy = f"{HIDDEN}copy"
     copies = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     out = mixed.where(F.col("taken") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))

@@ -1,59 +1,144 @@
 """SimHash near-duplicates by multi-index hashing.
 
-1. One pass over the texts gives a 64-bit fingerprint per document (Arrow batches, numpy).
+1. One pass over the texts gives a fingerprint per document (Arrow batches, numpy).
 2. Equal fingerprints collapse: copies never meet again before the last join.
-3. The 64 bits are cut into segments with a radius each. If two fingerprints differ in at
-   most ``distance`` bits, then by the pigeonhole principle some segment differs in at most
-   its radius, because sum(radius + 1) > distance. Every fingerprint enters the table of each
-   segment and also visits the values of the small Hamming ball around its segment; of two
-   values that differ in one bit, only the one that has the bit set visits the other.
+3. The bits are cut into segments with a radius each. If two fingerprints differ in at most
+   ``distance`` bits, then by the pigeonhole principle some segment differs in at most its
+   radius, because sum(radius + 1) > distance. Every fingerprint enters the table of each
+   segment and also visits the values of a small Hamming ball around its segment: for radius
+   1, of two values that differ in one bit only the one that has it set visits the other; for
+   radius 2, both visit their neighbours and meet half-way. Segments widen with the number of
+   fingerprints, so that a value's visitors stay few.
 4. Fingerprints that meet under one (segment, value) are compared in full. Where very many
    meet, they are dealt to blocks and every two blocks meet on their own. Small meetings give
    their verified links; in large ones a search that never looks again at a found
    fingerprint gives a star for each component instead of all pairs.
 5. Components are joined by distributed star steps (components.py).
+
+``similar_links`` uses the same tables with fingerprints of 256 bits and radius 2 to find
+candidates far beyond that distance, and then compares their shingles in full.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import HIDDEN, Scratch, table, without
+from tidestep.llm.common import HIDDEN, Scratch, join_facts, table, without
 from tidestep.llm.components import components
 
-#: (first bit, bits, radius) of each segment; the radii plus one sum to 5 > 4.
-SEGMENTS = ((0, 22, 1), (22, 21, 1), (43, 21, 0))
+Segments = tuple[tuple[int, int, int], ...]
+
 DISTANCE = 4
 SMALL = 16
 #: Visitors from which a (segment, value) is split over several tasks.
 HOT = 50_000
 OUT = ("fingerprint", "component_id")
-ROOT = f"{HIDDEN}root"
+ROW = f"{HIDDEN}row"
 
+#: Of the verified search: words of a shingle, numbers of 64 bits in a fingerprint, bits of two
+#: of these in which candidates may differ (what Jaccard 0.8 makes likely, and five standard
+#: deviations), and the members of a meeting from which pairs are looked at in two rounds.
+WIDTH, WORDS, REACH, LARGE = 5, 4, 38, 64
+#: Words whose hashes a worker remembers.
+MOST_WORDS = 500_000
+#: Neighbours in the order of fingerprints that a member of a large meeting is paired with in the first round.
+NEXT = 4
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
-    """The fingerprint of a text in UTF-8, as an unsigned integer."""
+
+def cuts(n: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments for n fingerprints: three, or two once three would be narrower than log2(n)."""
+    count = 3 if n <= 1 << (bits // 3) else 2
+    edge = [-(-bits * k // count) for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def segments(n: int, distance: int) -> Segments:
+    """The cuts with a radius each; the radii plus one sum to distance + 1, and none is above 2."""
+    own = cuts(n)
+    each, more = divmod(distance + 1, len(own))
+    if each + (more > 0) > 3:
+        raise ValueError(f"a distance of {distance} needs a radius above 2")
+    return tuple((a, b, each + (k < more) - 1) for k, (a, b) in enumerate(own) if each + (k < more))
+
+
+def _shingles(text: bytes, width: int, seed: int, block: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text in UTF-8, in blocks, repeats included."""
     words = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     first, last = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, block):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)], np.uint64)
+
+
+def _majority(blocks: Iterator[np.ndarray]) -> int:
+    """Bits that are set in over half of the numbers."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
+    """The fingerprint of a text in UTF-8, as an unsigned integer; zero for a text without words."""
+    return _majority(_shingles(text, width, seed, block))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes(dict):
+    """XXH64 of words, remembered; emptied when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return found
+
+
+_HASHES = WordHashes()
+
+
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes of their words' hashes; fewer words than ``width`` are one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(own) - width + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(min(width, len(own))):
+        total += own[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+    return np.unique(_mixed(total))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> list[int]:
+    """WORDS numbers of 64 bits for a set of shingles: of their hashes, and of these mixed anew."""
+    out = []
+    for _ in range(WORDS):
+        out.append(_majority(iter([shingles])))
+        shingles = _mixed(shingles + np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,24 +149,30 @@ def _fingerprints(width: int):
     return run
 
 
-def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ball(fp: np.ndarray, first: int, segs: Segments) -> Iterator[tuple[np.ndarray, np.ndarray | slice]]:
+    """(keys, which of fp) of all tables that fingerprints enter or visit; tables are numbered from ``first``."""
+    for k, (shift, bits, radius) in enumerate(segs, first):
+        value = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        base = np.uint64(k << 32)
+        yield base | value, slice(None)
+        for bit in range(bits if radius else 0):
+            mask = np.uint64(1 << bit)
+            who = slice(None) if radius == 2 else (value & mask) != 0
+            yield base | (value[who] ^ mask), who
+
+
+def _visits(segs: Segments):
     """Every (segment, value) that a fingerprint enters or visits."""
-    for b in batches:
-        all_fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(all_fp), 1 << 16):
-            fp = all_fp[at : at + (1 << 16)]
-            keys, who = [], []
-            for k, (shift, bits, radius) in enumerate(SEGMENTS):
-                value = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-                base = np.uint64(k << 32)
-                keys.append(base | value)
-                who.append(fp)
-                for bit in range(bits if radius else 0):
-                    mask = np.uint64(1 << bit)
-                    has = (value & mask) != 0
-                    keys.append(base | (value[has] ^ mask))
-                    who.append(fp[has])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(who).view(np.int64))], names=["key", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            all_fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(all_fp), 1 << 16):
+                fp = all_fp[at : at + (1 << 16)]
+                for keys, who in ball(fp, 0, segs):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[who].view(np.int64))], names=["key", "fp"])
+
+    return run
 
 
 def _links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,46 +209,55 @@ def _links(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray,
     return both[:, 0], both[:, 1]
 
 
-def _meetings(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = [], []  # the last key so far may go on in the next batch
-
-        def out(key, fp):
-            u, v = _links(key, fp, distance)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+def whole_keys(out: Callable[..., Iterator[pa.RecordBatch]]):
+    """Calls out(columns...) with whole keys, in order, of batches sorted by their first column."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the last key so far may go on in the next batch
         for b in batches:
-            key, fp = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(key):
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(now[0]):
                 continue
-            if held_k and held_k[0][0] == key[-1]:
-                held_k.append(key)
-                held_f.append(fp)
+            if held and held[0][0][0] == now[0][-1]:
+                held.append(now)
                 continue
-            last = int(np.searchsorted(key, key[-1]))
-            yield out(np.concatenate([*held_k, key[:last]]), np.concatenate([*held_f, fp[:last]]))
-            held_k, held_f = [key[last:]], [fp[last:]]
-        if held_k:
-            yield out(np.concatenate(held_k), np.concatenate(held_f))
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            yield from out(*(np.concatenate(c) for c in zip(*held, [c[:last] for c in now], strict=True)))
+            held = [[c[last:] for c in now]]
+        if held:
+            yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
-def split_hot(visits: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
-    """visits (key, fp) with the keys of more than ``hot`` visitors split: every two blocks of their visitors share a new key."""
+def _meetings(distance: int):
+    def out(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, v = _links(key, fp.view(np.uint64), distance)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return whole_keys(out)
+
+
+def split_hot(visits: DataFrame, hot: int, scratch: Scratch, of: str = "fp") -> DataFrame:
+    """visits (key, ...) with the keys of more than ``hot`` visitors split: every two blocks of their visitors share a new key."""
     many = scratch.keep(visits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot")
     if not many.count():
         return visits
     blocks = F.ceil(F.col("n") / hot).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(of), blocks).cast("int")
     # block b meets block c in the cell (min, max); a key that two cells share by chance only means a check in vain
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.xxhash64("key", F.least(own, c), F.greatest(own, c)))
-    joined = visits.join(many, "key", "left")
+    joined = visits.join(F.broadcast(many), "key", "left")  # fewer rows than visits / hot
     keys = F.when(F.col("n").isNull(), F.array("key")).otherwise(cells)
-    return joined.select(F.explode(keys).alias("key"), "fp")
+    return joined.select(F.explode(keys).alias("key"), *[c for c in visits.columns if c != "key"])
+
 
+def by_key(visits: DataFrame) -> DataFrame:
+    parts = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return visits.repartition(parts, "key").sortWithinPartitions("key")
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE, row_col: str | None = None, hot: int = HOT) -> DataFrame:
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """One row per row of df: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     Lower-cases A-Z, takes words between ASCII white space and shingles of ``width`` words
@@ -165,49 +265,198 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at ``distance`` or fewer differing bits; component_id is the smallest id reachable.
 
     Null, empty and all-space texts have fingerprint zero, linked like any other. Texts of
-    fewer words than ``width`` have one shingle. Repeated rows stay repeated. Null ids are
-    ignored by the minimum; a component of null ids only has component_id null. An empty
-    table gives an empty result. Other columns of df are not read. With ``row_col``, that
-    column is returned as well, as a key to join on, and a column that tells components apart
-    even where component_id is null.
+    fewer words than ``width`` have one shingle; texts of any length are read whole. Repeated
+    rows stay repeated. Null ids are ignored by the minimum; a component of null ids only has
+    component_id null. An empty table gives an empty result. Other columns are not read.
     """
-    assert sum(r + 1 for _, _, r in SEGMENTS) > distance
     scratch = Scratch(df.sparkSession, "simhash")
     kind = df.schema[id_col].dataType.simpleString()
-    tag = F.struct(F.col(id_col).alias("id"), *([F.col(row_col).alias("row")] if row_col else []))
-    slim = df.select(tag.alias("id"), F.col(text_col).cast("string").alias("text"))
-    slim = slim.mapInArrow(_fingerprints(width), f"id {slim.schema['id'].dataType.simpleString()}, fp bigint")
-    docs = scratch.keep(slim.select("id.*", "fp"), "fingerprints")
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = scratch.keep(slim.mapInArrow(_fingerprints(width), f"id {kind}, fp bigint"), "fingerprints")
 
     each = scratch.keep(docs.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    visits = each.select("fp").mapInArrow(_visits, "key bigint, fp bigint")
-    visits = split_hot(visits, hot, scratch)
-    meetings = visits.repartition(parts, "key").sortWithinPartitions("key")
-    edges = meetings.mapInArrow(_meetings(distance), "u bigint, v bigint").distinct()
+    visits = each.select("fp").mapInArrow(_visits(segments(each.count(), distance)), "key bigint, fp bigint")
+    visits = scratch.keep(visits, "visits")
+    edges = by_key(split_hot(visits, hot, scratch)).mapInArrow(_meetings(distance), "u bigint, v bigint").distinct()
     roots = components(edges, scratch)
-    rooted = each.join(roots.withColumnRenamed("node", "fp"), "fp")
+    scratch.drop(visits)
+    rooted = scratch.keep(each.join(roots.withColumnRenamed("node", "fp"), "fp"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    moved = scratch.keep(rooted.join(least, "root").select("fp", "root", "least"), "moved")
-    each = each.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias(ROOT), F.coalesce("least", "first").alias("component_id"))
-    out = docs.join(each, "fp")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return out.select(F.col("id").cast(kind).alias(id_col), *([F.col("row").alias(row_col), ROOT] if row_col else []), digits.alias("fingerprint"), "component_id")
+    moved = scratch.keep(join_facts(rooted.select("fp", "root"), least, "root"), "moved")
+    each = each.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    out = join_facts(docs, scratch.keep(each, "facts"), "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, node, w0, w1, ...): the hash of the set of shingles, and its fingerprint."""
+    for batch in batches:
+        out = []
+        for t in batch.column(1).cast(pa.binary()):
+            s = shingle_set(t.as_py() or b"")
+            out.append((xxhash.xxh64_intdigest(s.tobytes()), *wide_fingerprint(s)))
+        columns = np.array(out, np.uint64).reshape(-1, 1 + WORDS).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[:, k]) for k in range(1 + WORDS))], names=["row", "node", *NUMBERS])
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each near-duplicate component: that with the smallest id.
+def _wide_visits(segs: Segments):
+    """(node, a, b) to (key, node, a, b) for the tables of a's segments."""
 
-    Columns and texts are those of docs. Of repeated ids one row stays; a component of null
-    ids only keeps one row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for keys, who in ball(a.view(np.uint64), 0, segs):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x[who]) for x in (node, a, b))], names=["key", "node", "a", "b"])
+
+    return run
+
+
+NUMBERS = [f"w{k}" for k in range(WORDS)]
+VISITS = "key bigint, node bigint, a bigint, b bigint"
+#: Candidates u > v where key, a and b are null; else members u of a large meeting.
+MET = "key bigint, u bigint, v bigint, a bigint, b bigint"
+
+
+def _met(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
+    none = pa.nulls(len(both), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], names=["key", "u", "v", "a", "b"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ a2).view(np.uint64)) + np.bitwise_count((b ^ b2).view(np.uint64)) <= REACH
+
+
+def _first_round(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All candidates of small meetings; of large ones the members, and candidates next to each other by fingerprint."""
+    by = np.lexsort((b, a, key))
+    key, node, a, b = key[by], node[by], a[by], b[by]
+    size = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])))
+    large = np.repeat(size, size) > LARGE
+    left, right = [node[:0]], [node[:0]]
+    for part, most in ((~large, LARGE - 1), (large, NEXT)):
+        k, n, f, g = key[part], node[part], a[part], b[part]
+        for step in range(1, min(most, len(k) - 1) + 1):
+            same = np.flatnonzero(k[step:] == k[:-step])
+            if not len(same):
+                break
+            same = same[_near(f[same + step], g[same + step], f[same], g[same])]
+            left.append(n[same + step])
+            right.append(n[same])
+    yield _met(np.concatenate(left), np.concatenate(right))
+    if large.any():
+        rows = {"key": key[large], "u": node[large], "v": node[large], "a": a[large], "b": b[large]}
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
+
+
+def _second_round(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The candidates of large meetings that the first round has not connected."""
+    for at, n in zip(*np.unique(key, return_index=True, return_counts=True)[1:], strict=True):
+        x, f, g, (names, klass, size) = node[at : at + n], a[at : at + n], b[at : at + n], np.unique(root[at : at + n], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        most = int(size.argmax())
+        for i in np.flatnonzero(klass != most):  # a pair of two smaller classes is found twice, one with the largest once
+            hit = np.flatnonzero((klass != klass[i]) & _near(f, g, f[i], g[i]))
+            if len(hit):
+                yield _met(np.full(len(hit), x[i]), x[hit])
+
+
+def own_values(nodes: DataFrame, number: str, segs: Segments) -> DataFrame:
+    """(key, n): how many nodes have each value in each segment of a number."""
+    keys = [F.shiftrightunsigned(number, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(k << 32) for k, (shift, bits, _) in enumerate(segs)]
+    return nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def salted_join(pairs: DataFrame, facts: DataFrame, key: str, other: str, parts: int = 1024, salts: int = 64) -> DataFrame:
+    """pairs joined with facts, which have one row for a key; a key that holds more than 1/parts of the pairs is spread over ``salts`` by the other column."""
+    heavy = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * parts > pairs.count()).select(key)  # fewer than ``parts`` rows
+    salt = F.pmod(F.xxhash64(other), F.lit(salts)).cast("int")
+    hot = pairs.join(F.broadcast(heavy), key, "left_semi").withColumn("salt", salt)
+    hot_facts = facts.join(F.broadcast(heavy), key, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    light = pairs.join(F.broadcast(heavy), key, "left_anti").join(facts, key)
+    return light.unionByName(hot.join(hot_facts, [key, "salt"]).drop("salt"))
+
+
+def similar(a: Column, b: Column, overlap: Column) -> Column:
+    """Whether sets of sizes a and b with this overlap have Jaccard 0.8 or more."""
+    return 9 * overlap >= 4 * (a + b)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, t in enumerate(batch.column(1).cast(pa.binary())):  # a row at a time: a set can be long
+            s = shingle_set(t.as_py() or b"").view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))], names=["node", "s"])
+
+
+def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Of a written table docs (row, id, text): nodes (node, first: the least (id is null, id, row) that has this set of shingles) and links (u, v), u > v.
+
+    Linked nodes have Jaccard 0.8 or more, compared in full. Pairs are compared if a segment of
+    one of their fingerprints' numbers differs in two bits at most and this number and the next
+    differ in REACH at most. Each number's tables are a pass of their own, so that no more than
+    one pass is on disk.
+    """
+    marked = scratch.keep(docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(_wide, "row bigint, node bigint, " + ", ".join(f"{w} bigint" for w in NUMBERS)), "marked")
+    ids = docs.select("row", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first"))
+    each = scratch.keep(marked.join(ids, "row").groupBy("node").agg(F.min("first").alias("first"), *[F.min(w).alias(w) for w in NUMBERS]), "nodes")
+    scratch.drop(marked)
+    segs = tuple((a, b, 2) for a, b in cuts(each.count()))
+    passes = []
+    for k, w in enumerate(NUMBERS):
+        nodes = each.select("node", F.col(w).alias("a"), F.col(NUMBERS[(k + 1) % WORDS]).alias("b"))
+        visits = nodes.mapInArrow(_wide_visits(segs), VISITS)
+        # a meeting of more than ``hot`` visitors has a value near it that many nodes have themselves
+        if not own_values(nodes, "a", segs).where(F.col("n") * (1 + max(b for _, b, _ in segs)) > hot).isEmpty():
+            visits = split_hot(visits, hot, scratch, "node")
+        passes.append(scratch.keep(by_key(visits).mapInArrow(whole_keys(_first_round), MET), "met"))
+    met = reduce(DataFrame.unionByName, passes)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs.select("u", "v").distinct(), "pairs")
+        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        wanted = scratch.keep(each.join(nodes, "node").select("node", F.col("first.row").alias("row")), "wanted")
+        texts = docs.join(wanted, "row").select("node", F.col("text").cast("string").alias("text"))
+        sets = scratch.keep(texts.mapInArrow(_sets, "node bigint, s array<bigint>"), "sets")
+        left = scratch.keep(salted_join(pairs, sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u", "v"), "half")
+        both = salted_join(left, sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v", "u")
+        links = scratch.keep(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("u", "v"), "links")
+        for done in (left, sets, wanted):
+            scratch.drop(done)
+        return links
+
+    links = verified(met.where("key is null"))
+    large = met.where("key is not null").select("key", F.col("u").alias("node"), "a", "b")
+    if not large.isEmpty():
+        roots = components(links, scratch)
+        # keys of different passes may be equal; that only means a check in vain
+        named = large.join(roots, "node", "left").select("key", "node", "a", "b", F.coalesce("root", "node").alias("root"))
+        links = links.unionByName(verified(by_key(named).mapInArrow(whole_keys(_second_round), MET)))
+    return each.select("node", "first"), links
+
+
+def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """docs with one row of each component of similar texts: that with the smallest id.
+
+    Texts are similar if their sets of five-word shingles (words and case as in
+    ``simhash_groups``) have Jaccard 0.8 or more; candidates come from 256-bit SimHash
+    fingerprints (``similar_links``), so a pair just above 0.8 can be missed.
+
+    Columns and texts are those of docs. Texts of fewer than five words are one shingle. Null,
+    empty and all-space texts have no shingles and are one component. Texts of any length are
+    compared whole. Null ids come last, then row order decides; of repeated rows one stays.
+    An empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "simhash-keep")
-    row = f"{HIDDEN}row"
-    kept = scratch.keep(without(docs).withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = simhash_groups(kept, id_col, text_col, row_col=row)
-    # smallest id first, null ids last, then row order; combined map-side
-    best = groups.groupBy(ROOT).agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row))).alias("b"))
-    return kept.join(best.select(F.col(f"b.{row}").alias(row)), row, "left_semi").drop(row)
+    scratch = Scratch(docs.sparkSession, "similar")
+    kept = scratch.keep(without(docs).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    slim = kept.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    nodes, links = similar_links(slim, scratch, hot)
+    roots = components(links, scratch)
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("b"))
+    stay = grouped.select(F.col("b.row").alias(ROW))
+    gone = scratch.keep(kept.select(ROW).join(stay, ROW, "left_anti"), "gone")  # its size is known, so Spark broadcasts it only if small
+    return kept.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
