@@ -34,20 +34,70 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit_toxicity(docs, labels, remainder("doc_id", 5) != 0)
     got = toxicity.score_toxicity(docs, model).where(remainder("doc_id", 5) == 0).join(labels, "doc_id").collect()
     assert len(got) > 80 and np.mean([r.predicted == r.toxic for r in got]) > 0.97
-    assert all(0 <= r.score <= 1 for r in got) and len(model.accuracy) == len(model.voters)
+    assert all(0 <= r.score <= 1 for r in got) and len(model.accuracy) == len(model.voters) == len(model.depends)
+    assert model.rows > 400 and model.flips < 0.05 * model.rows
     clean = toxicity.clean_documents(docs, labels)
     assert clean.columns == docs.columns and clean.join(labels, "doc_id").where("toxic = 0").count() >= 0.98 * labels.where("toxic = 0").count()
 
 
-def test_label_model_downweights_copies_of_a_voter():
-    rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 3000)
-    vote = lambda a: np.where(rng.random(3000) < a, 2 * y - 1, 1 - 2 * y).astype(np.int8)
+def votes_of(seed=0, n=3000):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    vote = lambda a, says=1.0: (np.where(rng.random(n) < a, 2 * y - 1, 1 - 2 * y) * (rng.random(n) < says)).astype(np.int8)
+    return y, vote
+
+
+def slow_em(votes, start, rounds):
+    """EM for independent voters, a cell at a time."""
+    post = list(start)
+    n, m = votes.shape
+    for _ in range(rounds):
+        prior, new = (sum(post) + 1) / (n + 2), []
+        rate = {}
+        for y in (0, 1):
+            weight = [p if y else 1 - p for p in post]
+            for j in range(m):
+                for v in (-1, 0, 1):
+                    rate[y, j, v] = (sum(w for w, x in zip(weight, votes[:, j], strict=True) if x == v) + 0.5) / (sum(weight) + 1.5)
+        for row in votes:
+            odds = prior / (1 - prior)
+            for j, v in enumerate(row):
+                odds *= rate[1, j, int(v)] / rate[0, j, int(v)]
+            new.append(odds / (1 + odds))
+        post = new
+    return np.array(post)
+
+
+def test_label_model_equals_an_independent_em():
+    y, vote = votes_of(n=400)
+    votes = np.stack([vote(0.8), vote(0.7, 0.5), vote(0.9, 0.3), vote(0.6), vote(0.75)], axis=1)
+    start = np.where(votes[:, -1] > 0, 0.9, 0.1)
+    got = toxicity.label_model(votes, start, rounds=7, correlated=False, tolerance=0)
+    assert got.rounds == 7 and (got.parent == -1).all()
+    assert np.allclose(got.post, slow_em(votes, start, 7))
+
+
+def test_label_model_estimates_accuracies_and_corrects_an_annotator():
+    y, vote = votes_of()
+    votes = np.stack([vote(0.85), vote(0.8), vote(0.9, 0.6), vote(0.8), vote(0.75)], axis=1)  # the last one starts EM
+    got = toxicity.label_model(votes, np.where(votes[:, -1] > 0, 0.9, 0.1))
+    gold = votes[:, -1] > 0
+    flips = (got.post > 0.5) != gold
+    assert flips.mean() > 0.15 and np.mean((got.post > 0.5) == y) > 0.9 > np.mean(gold == y)
+    assert np.allclose(got.accuracy, [0.85, 0.8, 0.9, 0.8, 0.75], atol=0.05)
+
+
+def test_copies_of_a_voter_add_nothing():
+    y, vote = votes_of()
     poor = vote(0.6)
-    votes = np.stack([vote(0.85), vote(0.8), *[poor] * 8, vote(0.9)], axis=1)
-    post, accuracy, corr = toxicity.label_model(votes, (votes[:, -1] > 0).astype(int))
-    assert corr[2, 3] > 0.9 and abs(corr[0, 1]) < 0.4  # the class is known only in part
-    assert np.mean((post > 0.5) == y) > 0.88 and accuracy[0] > accuracy[2]
+    good = [vote(0.85), vote(0.8), vote(0.9)]
+    start = np.where(good[-1] > 0, 0.9, 0.1)
+    one = toxicity.label_model(np.stack([*good, poor], axis=1), start)
+    many = toxicity.label_model(np.stack([*good, *[poor] * 8], axis=1), start)
+    naive = toxicity.label_model(np.stack([*good, *[poor] * 8], axis=1), start, correlated=False)
+    assert one.parent[3] == -1 and (many.parent[3:] >= 3).sum() == 7
+    assert np.abs(one.post - many.post).max() < 0.05
+    assert np.mean((many.post > 0.5) == y) > np.mean((naive.post > 0.5) == y) + 0.1
 
 
 def test_quality_held_out(spark):
