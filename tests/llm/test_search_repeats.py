@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.util import odd_documents
-from tidestep.llm import transducer
+from tidestep.llm import topk, transducer
 from tidestep.llm.repeats import remove_repeats
 from tidestep.llm.suffixes import shares, suffix_array
 from tidestep.llm.token_counts import count_tokens
@@ -37,6 +37,30 @@ def test_top_k_against_brute_force(spark, scale):
     assert top_k(df.limit(0), F.lit(True)).collect() == []
 
 
+def block_of(rows, ids, x, pivots):
+    d = topk._table(x, pivots)
+    return topk.Block.of({"n": len(x), "dim": x.shape[1], "rows": rows.tobytes(), "ids": ids.tobytes(), "x": x.tobytes(), "d": d.tobytes()})
+
+
+def test_pivots_rule_candidates_out():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 60, (40, 16))
+    x = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(0, 3, (3000, 16))).astype(np.int64)
+    ids, pivots = np.arange(3000), np.arange(0, 3000, 12)
+    blocks = [block_of(ids[k : k + 1000], ids[k : k + 1000], x[k : k + 1000], x[pivots]) for k in (0, 1000, 2000)]
+    search = topk.Search(20, block_of(ids[:30], ids[:30], x[:30], x[pivots]), pivots, x[pivots])
+    shares = []
+    for b in blocks:
+        before = search.scored
+        search.meet(b)
+        shares.append((search.scored - before) / 30 / 1000)
+    assert search.met == 30 * 2999 and search.scored < 0.25 * search.met and shares[2] < shares[0]
+    for i in range(30):
+        s = x @ x[i]
+        want = [j for j in np.lexsort((ids, -s)) if j != i][:20]
+        assert search.best[i][:, 1].tolist() == want and search.best[i][:, 0].tolist() == s[want].tolist()
+
+
 def test_transducer_equals_the_library():
     rng = random.Random(1)
     alphabet = "ab c'tsrevml d<|>endoftext \n\t　\xa0.!1９ñß日Σ́"
