@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -70,13 +71,49 @@ def test_transducer_equals_the_library():
     for x in texts:
         n = len(tokens.encode(x, add_special_tokens=False).ids)
         assert t.count(x) == n and t.unit(x) == n
-        cuts = sorted({0, len(x), *(rng.randint(0, len(x)) for _ in range(4))})
-        maps = [transducer.chunk_map(x[a:b], x[a - 1 : a] if a else "") for a, b in zip(cuts, cuts[1:], strict=False)]
-        assert transducer.total(maps) == n
-    m = [transducer.chunk_map(p) for p in ("ab c", "d", " e f", "", "g h ")]
-    left = transducer.compose(transducer.compose(transducer.compose(m[0], m[1]), m[2]), transducer.compose(m[3], m[4]))
-    right = transducer.compose(m[0], transducer.compose(m[1], transducer.compose(m[2], transducer.compose(m[3], m[4]))))
-    assert left == right
+        cuts = sorted({0, len(x), *(c for _ in range(4) if not inside(x, c := rng.randint(0, len(x)), t.special))})
+        m = map_of(x, cuts)
+        assert transducer.total(m) == n
+
+
+def inside(x, at, special):
+    return any(0 <= x.find(s, max(0, at - len(s) + 1), at + len(s) - 1) < at for s in special)
+
+
+def map_of(x, cuts, look=transducer.LOOK):
+    maps = [transducer.chunk_map(x[a:b], x[max(0, a - look) : a], a <= look) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return functools.reduce(transducer.compose, maps, transducer.chunk_map(""))
+
+
+def test_maps_compose_in_any_grouping():
+    x = "ab cdefgh'll  x\n\n yy don't 123abc" * 3
+    cuts = [0, 3, 9, 11, 12, 40, 41, 90, len(x)]
+    maps = [transducer.chunk_map(x[a:b], x[max(0, a - 20) : a], a <= 20) for a, b in zip(cuts, cuts[1:], strict=False)]
+    start = transducer.name_of(transducer.transducer().start)
+    left = functools.reduce(transducer.compose, maps)
+    right = functools.reduce(lambda b, a: transducer.compose(a, b), maps[::-1])
+    assert left == right and start in left and set(maps[0]) == {start} and any(len(m) > 1 for m in maps)
+
+
+def test_one_megabyte_without_spaces_is_scanned_by_many_maps(spark):
+    rng = random.Random(9)
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(150_000)) + "a" * 650_000 + "-" * 100_000 + "日本" * 50_000
+    df = spark.createDataFrame([(1, run), (2, "b" * 70_000)], "doc_id bigint, text string")
+    tokens = library("byte_bpe_50k.json")
+    want = {r.doc_id: len(tokens.encode(r.text, add_special_tokens=False).ids) for r in df.collect()}
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df).collect()} == want
+    cuts = [*range(0, len(run), 32_768), len(run)]
+    maps = [transducer.chunk_map(run[a:b], run[max(0, a - transducer.LOOK) : a], a <= transducer.LOOK) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert len(maps) > 30 and transducer.total(functools.reduce(transducer.compose, maps)) == want[1]
+    for m in maps:  # digests and numbers only
+        assert len(m) <= transducer.LOOK and all(len(e) == len(x) == 16 and isinstance(n, int) for e, (x, n, _) in m.items())
+
+
+def test_a_text_whose_maps_do_not_compose_is_counted_in_one_run(spark):
+    df = spark.createDataFrame([(1, "a" * 700 + "b" * 300 + " c d")], "doc_id bigint, text string")
+    n = len(library("byte_bpe_50k.json").encode(df.first().text, add_special_tokens=False).ids)
+    assert transducer.total(map_of(df.first().text, [0, 250, 500, 750, 1004], look=0)) is None
+    assert [r.n_tokens for r in count_tokens(df, chunk=250, look=0).collect()] == [n]
 
 
 @pytest.mark.parametrize("chunk", [32_768, 50])

@@ -9,9 +9,14 @@ transition on a character moves the window and emits by how many tokens the enco
 merge can emit a negative number). States are made on demand and kept.
 
 The splitter in front is a machine over character kinds with the states below; it is composed
-with the merging machine, so one transition table serves a whole text. At white space after
-anything else a piece always ends: there, all states meet in START, which is what chunk maps
-build on.
+with the merging machine, so one transition table serves a whole text.
+
+The map of a chunk takes the state in which the chunk is entered to the state in which it is
+left and the tokens emitted between. It is computed for every state that the characters in
+front of the chunk allow: those in which the machine arrives when it is started at any of the
+last LOOK of them. Of a long piece the true state is among them, because what a window holds
+is decided by few bytes; if it is not, composing says so, and the text is counted in one run.
+At white space after anything else a piece always ends, and all states meet in START.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ import functools
 import re
 import unicodedata
 
+import xxhash
+
 from tidestep.llm.tokens import WHITE, byte_encoder
 
 #: States and remembered segments of one worker; both are emptied when there are more.
@@ -207,6 +214,10 @@ class Transducer:
             return self.feed(self.merger.start, "'")[1] + (self.feed(self.merger.start, s.last)[1] if s.last else 0)
         return 0
 
+    def trim(self) -> None:
+        if len(self.states) + len(self.merger.states) > MOST_STATES:
+            self.clear()
+
     def run(self, text: str) -> int:
         """Tokens of a text without special strings, from START to its end."""
         s, total = self.start, 0
@@ -214,8 +225,7 @@ class Transducer:
             s, grew = s[ch]
             total += grew
         total += self.end(s)
-        if len(self.states) + len(self.merger.states) > MOST_STATES:
-            self.clear()
+        self.trim()
         return total
 
     def unit(self, text: str) -> int:
@@ -246,45 +256,116 @@ def transducer(name: str = "byte_bpe_50k") -> Transducer:
     return Transducer(name)
 
 
-#: The map of a chunk. Between the first and the last point where all states meet in START,
-#: the count is known; before and after, it depends on the neighbours, so that text is kept.
-#: (head, count, tail), or (text,) if the chunk has no such point.
-Map = tuple
+#: The map of a chunk: entry state -> (state after it, tokens emitted, tokens that the text's end
+#: would emit there). States go by a 128-bit digest of what they hold, so a map holds no text.
+Map = dict[bytes, tuple[bytes, int, int]]
 
+#: Characters in front of a chunk at which starts are tried: more than any vocabulary word has.
+LOOK = 160
+#: Characters after which states that have met are recognised.
+STEP = 16
 
-def chunk_map(text: str, before: str = "", name: str = "byte_bpe_50k") -> Map:
-    """The map of a chunk; before: the character in front of it, if any."""
-    if before and before not in _WHITE and text[:1] in _WHITE and text:
-        at = 0
-    else:
-        first = _SYNC.search(text)
-        if first is None:
-            return (text,)
-        at = first.start()
-    end = len(text)  # the last point: before the white space in front of what ends the chunk
+
+def name_of(s: State) -> bytes:
+    """The name of a state, the same in every worker."""
+    return xxhash.xxh3_128_digest(repr((s.mode, s.last, s.window.tail, s.window.past, s.window.whole)))
+
+
+def entries(t: Transducer, before: str, at_start: bool) -> list[State]:
+    """The states in which a chunk can be entered; before: what is in front of it; at_start: whether nothing is in front of that."""
+    live = {name_of(t.start): t.start}
+    for ch in before:
+        moved = [s[ch][0] for s in live.values()]
+        live = {name_of(s): s for s in (moved if at_start else [*moved, t.start])}
+    return list(live.values())
+
+
+def _last_sync(text: str, at: int) -> int:
+    """The last point after ``at`` where white space follows something else; ``at`` if there is none."""
+    end = len(text)
     while end > at and text[end - 1] not in _WHITE:
         end -= 1
     while end > at and text[end - 1] in _WHITE:
         end -= 1
-    return (text[:at], transducer(name).count(text[at:end]), text[end:])
+    return end
 
 
-def compose(a: Map, b: Map, name: str = "byte_bpe_50k") -> Map:
-    """The map of two neighbouring chunks; associative."""
-    if len(a) == 1 and len(b) == 1:
-        return (a[0] + b[0],)
-    if len(a) == 1:
-        return (a[0] + b[0], b[1], b[2])
-    if len(b) == 1:
-        return (a[0], a[1], a[2] + b[0])
-    return (a[0], a[1] + transducer(name).count(a[2] + b[0]) + b[1], b[2])
+def chunk_map(text: str, before: str = "", at_start: bool = True, name: str = "byte_bpe_50k") -> Map:
+    """The map of a chunk whose edges are not inside a special string (``cut_points``); before and at_start as for ``entries``."""
+    t = transducer(name)
+    special = max((before.rfind(x) + len(x) for x in t.special if x in before), default=0)
+    first = entries(t, before[special:], at_start or special > 0)
+    names = [name_of(s) for s in first]
+    now, of, total = list(first), list(range(len(first))), [0] * len(first)  # states of groups; of each entry its group and count
 
+    def add(got: list[int]) -> None:
+        for e, g in enumerate(of):
+            total[e] += got[g]
 
-def total(maps: list[Map], name: str = "byte_bpe_50k") -> int:
-    """Tokens of the chunks' whole text, by composing neighbours in a tree."""
-    while len(maps) > 1:
-        maps = [compose(*maps[k : k + 2], name=name) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-    if not maps:
-        return 0
-    m, count = maps[0], transducer(name).count
-    return count(m[0]) if len(m) == 1 else count(m[0]) + m[1] + count(m[2])
+    def gather(state: State) -> None:
+        """All entries are in one state."""
+        now[:], of[:] = [state], [0] * len(of)
+
+    for k, part in enumerate(t.split(text) if t.split else [text]):
+        if k:  # a special string: what is open ends, and it is one token
+            add([t.end(s) + 1 for s in now])
+            gather(t.start)
+        at = 0
+        while at < len(part):
+            if len(now) == 1 and now[0] is t.start:
+                end = _last_sync(part, at)
+                if end > at:
+                    add([t.count(part[at:end])])
+                    gather(t.start)
+                    at = end
+                    continue
+            sync = _SYNC.search(part, at + 1)
+            stop = sync.start() if sync else len(part)
+            while at < stop:
+                step, got = stop if len(now) == 1 else min(stop, at + STEP), []
+                for g, s in enumerate(now):
+                    n = 0
+                    for ch in part[at:step]:
+                        s, grew = s[ch]
+                        n += grew
+                    now[g] = s
+                    got.append(n)
+                add(got)
+                at = step
+                if len(now) > 1:
+                    met: dict[bytes, State] = {}
+                    where = [name_of(s) for s in now]
+                    for w, s in zip(where, now, strict=True):
+                        met.setdefault(w, s)
+                    number = {w: g for g, w in enumerate(met)}
+                    now[:], of[:] = list(met.values()), [number[where[g]] for g in of]
+            if sync:  # white space after something else: the piece ends
+                add([t.end(s) for s in now])
+                gather(t.start)
+    ends = [(name_of(s), t.end(s)) for s in now]
+    t.trim()
+    return {names[e]: (ends[g][0], total[e], ends[g][1]) for e, g in enumerate(of)}
+
+
+def compose(a: Map, b: Map) -> Map:
+    """The map of two neighbouring chunks; associative. Entries that lead to a state which b does not know are left out."""
+    return {e: (b[x][0], n + b[x][1], b[x][2]) for e, (x, n, _) in a.items() if x in b}
+
+
+def total(m: Map, name: str = "byte_bpe_50k") -> int | None:
+    """Tokens of a whole text by its map; None if composing has lost its way."""
+    found = m.get(name_of(transducer(name).start))
+    return None if found is None else found[1] + found[2]
+
+
+def cut_points(text: str, chunk: int, name: str = "byte_bpe_50k") -> list[int]:
+    """Where chunks of about ``chunk`` characters begin; never inside a special string."""
+    special, out = transducer(name).special, [0]
+    for at in range(chunk, len(text), chunk):
+        for x in special:
+            near = text.find(x, max(0, at - len(x) + 1), at + len(x) - 1)
+            if 0 <= near < at:
+                at = near
+        if at > out[-1]:
+            out.append(at)
+    return out
