@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op2_topk": topk.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
+    "op8_repeats": repeats.ORACLE_SQL,
 }

@@ -1,30 +1,29 @@
 """Removal of repeated byte strings across documents, exactly, by suffix sorting.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document of
-smaller id. Sorting every suffix of the corpus would move it many times over, so strings meet
-by anchors: of the GRAM-byte grams in a window of ``length`` bytes, the one of least hash, the
-leftmost if tied. Equal windows have equal anchors at equal places, and neighbouring windows
-share theirs: about one position in eighteen is an anchor.
+smaller id. Sorting every suffix of the corpus in one order would move it many times over, so
+what can be equal is brought together first, by anchors: of the GRAM-byte grams in a window of
+``length`` bytes, the one of least hash, the leftmost if tied. Equal windows have equal anchors
+at equal places, and neighbouring windows share theirs: about one position in eighteen is an
+anchor.
 
 1. Documents are packed into blocks, written once.
 2. Each block tells each part of the hash space which anchor hashes it has (four bytes each);
    the part answers with a bit for each that occurs in more than one document.
 3. For those anchors, a block sends the context (all windows that the anchor stands for, at
    most 2 * length bytes) with the least and greatest id that has it, once however often it occurs.
-4. A part merges equal contexts. Where different contexts remain, it sorts their suffixes by
-   the two-stage method (suffixes.py); neighbours in that order with a common prefix of
-   ``length`` bytes are equal windows, whose least id is what counts.
+4. A part sorts the suffixes of all its distinct contexts by the two-stage method
+   (suffixes.py); neighbours in that order with a common prefix of ``length`` bytes are equal
+   windows, whose least id is what counts.
 5. The block gets back, for each context, the runs of windows and the least id, marks the
    bytes of documents with a greater id, and cuts them.
 
-No decision is made on hashes alone: contexts are compared as bytes.
+No decision is made on hashes: windows are equal if the sorted order's common prefixes say so.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +39,8 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1 << 22
 PART_BYTES = 1 << 22
+#: Bytes of text for each task at most.
+TASK_BYTES = 1 << 26
 OUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 NONE = np.iinfo(np.int64).min  # the id of a document without id
 
@@ -226,39 +227,22 @@ def _contexts(parts: int, length: int):
 def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For distinct contexts, runs (context, first window, end window, least id that has these windows)."""
     windows = rows[:, 0].astype(np.int64)
-    # contexts that share no window have other anchors; those of one anchor lie together
-    gram = np.take_along_axis(rows, 2 + rows[:, 1:2].astype(np.int64) + np.arange(GRAM), axis=1).view("<u8")
-    value = gram[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ gram[:, 1]
-    order = np.argsort(value, kind="stable")
-    v = value[order]
-    shared = np.zeros(len(v), bool)
-    shared[1:] |= v[1:] == v[:-1]
-    shared[:-1] |= v[1:] == v[:-1]
-    alone, meet = order[~shared], order[shared]
-    who, start, end, least = [alone], [np.zeros(len(alone), np.int64)], [windows[alone]], [low[alone]]
-    if len(meet):
-        size = windows[meet] + length - 1
-        inside = np.arange(rows.shape[1] - 2) < size[:, None]
-        buf = rows[meet, 2:][inside]
-        begin = np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(meet)), size)
-        place = np.arange(len(buf)) - begin[owner]
-        sa = suffix_array(buf, size)
-        sa = sa[place[sa] < windows[meet][owner[sa]]]  # those that start a window
-        group = np.cumsum(np.concatenate(([0], ~shares(buf, sa[:-1], sa[1:], length))))
-        best = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(best, group, low[meet][owner[sa]])
-        found = np.full(len(buf), np.iinfo(np.int64).max)
-        found[sa] = best[group]
-        window = np.flatnonzero(place < windows[meet][owner])
-        o, b = owner[window], found[window]
-        new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (b[1:] != b[:-1]))))
-        stop = np.concatenate((new[1:], [len(window)]))
-        who.append(meet[o[new]])
-        start.append(place[window[new]])
-        end.append(place[window[new]] + stop - new)
-        least.append(b[new])
-    return tuple(np.concatenate(x) for x in (who, start, end, least))
+    size = windows + length - 1
+    buf = rows[:, 2:][np.arange(rows.shape[1] - 2) < size[:, None]]
+    owner = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(len(buf)) - (np.cumsum(size) - size)[owner]
+    sa = suffix_array(buf, size)
+    sa = sa[place[sa] < windows[owner[sa]]]  # those that start a window
+    group = np.cumsum(np.concatenate(([0], ~shares(buf, sa[:-1], sa[1:], length))))
+    best = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(best, group, low[owner[sa]])
+    found = np.full(len(buf), np.iinfo(np.int64).max)
+    found[sa] = best[group]
+    window = np.flatnonzero(place < windows[owner])
+    o, b = owner[window], found[window]
+    new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (b[1:] != b[:-1]))))
+    stop = np.concatenate((new[1:], [len(window)]))
+    return o[new], place[window[new]], place[window[new]] + stop - new, b[new]
 
 
 def _resolve(length: int):
@@ -342,23 +326,17 @@ def _result(id_col: str, with_kept: bool) -> str:
     return f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go when the driver has collected its garbage."""
-    for _ in range(2):  # what the first collection frees may hold more
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_kept: bool = True, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of df: id, ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the bytes that stay).
 
     A byte is removed if a string of ``length`` bytes that covers it, inside one document,
     also starts in a document of smaller id; strings are judged on the input.
 
-    Null and empty texts have no bytes. Texts shorter than ``length`` lose nothing. Rows of
-    equal id never take from each other; rows without id neither take nor lose. An empty
-    table gives an empty result. Other columns are not read.
+    Null and empty texts have no bytes. Texts shorter than ``length`` lose nothing; of a longer
+    one every window counts, however long it is, and a block holds it whole. Rows of equal id
+    never take from each other; rows without id neither take nor lose. Ids are read as 64-bit
+    numbers, and the least such number stands for no id. An empty table gives an empty result.
+    Other columns are not read.
     """
     assert GRAM < length <= 100
     spark = df.sparkSession
@@ -367,16 +345,32 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = scratch.keep(slim.mapInArrow(_pack(block_bytes), BLOCKS), "blocks")
     total = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
-    anchors = blocks.mapInArrow(_anchors(parts, length), ANCHORS)
-    repeated = scratch.keep(anchors.groupBy("part").applyInArrow(_repeated, REPEATED), "repeated")
-    del anchors
-    _release(spark)
-    contexts = blocks.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_contexts(parts, length), CONTEXTS)
-    marks = scratch.keep(contexts.groupBy("part").applyInArrow(_resolve(length), MARKS), "marks")
-    del contexts
-    _release(spark)
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut(length, id_col, with_kept), _result(id_col, with_kept))
+    # as many tasks as the data need, so that none reads more when there are more data
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    dealt = lambda d, key: d.repartition(tasks, key).groupBy(key)
+    repeated = scratch.keep(dealt(blocks.mapInArrow(_anchors(parts, length), ANCHORS), "part").applyInArrow(_repeated, REPEATED), "repeated")
+    contexts = dealt(blocks, "block").cogroup(dealt(repeated, "block")).applyInArrow(_contexts(parts, length), CONTEXTS)
+    marks = scratch.keep(dealt(contexts, "part").applyInArrow(_resolve(length), MARKS), "marks")
+    scratch.drop(repeated)
+    return dealt(blocks, "block").cogroup(dealt(marks, "block")).applyInArrow(_cut(length, id_col, with_kept), _result(id_col, with_kept))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, 500 * c AS a, substr(h, 1000 * c + 1, 1098) AS t FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 450) // 500)) AS c FROM d)),
+w AS (SELECT doc_id, a + j AS i, substr(t, 2 * j + 1, 100) AS s FROM (SELECT doc_id, a, t, unnest(range(0, len(t) // 2 - 49)) AS j FROM x)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+r AS (SELECT doc_id, i, coalesce((i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50)::INT, 1) AS new FROM w JOIN m USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last,
+             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
