@@ -12,20 +12,32 @@ from __future__ import annotations
 import numpy as np
 
 
-def _words(buf: np.ndarray, at: np.ndarray, left: np.ndarray, word: int) -> np.ndarray:
+def _views(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a big-endian number; buf must end in seven bytes that don't matter."""
+    return np.ndarray((len(buf) - 7,), ">u8", np.ascontiguousarray(buf).data, strides=(1,))
+
+
+def _padded(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight-byte views of the strings with eight zero bytes after each, and how far each string has moved."""
+    moved = np.repeat(8 * np.arange(len(lengths)), lengths)
+    out = np.zeros(len(buf) + 8 * len(lengths) + 8, np.uint8)
+    out[np.arange(len(buf)) + moved] = buf
+    return _views(out), moved
+
+
+def _words(views: np.ndarray, at: np.ndarray, left: np.ndarray, word: int) -> np.ndarray:
     """Bytes 8 * word to 8 * word + 7 of each suffix as a number, zero after its end."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8 * word, 8 * word + 8):
-        inside = left > k
-        out <<= np.uint64(8)
-        out[inside] |= buf[at[inside] + k].astype(np.uint64)
+    inside = left > 8 * word
+    out = views[np.where(inside, at + 8 * word, 0)].astype(np.uint64)
+    out[~inside] = 0
     return out
 
 
-def direct_sort(buf: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of suffixes: eight bytes at a time, only among those still equal; left: their lengths."""
-    order = np.lexsort((left, _words(buf, at, left, 0)))
-    first = _words(buf, at[order], left[order], 0)
+def direct_sort(views: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of suffixes of padded strings: eight bytes at a time, only among those still equal; left: their lengths."""
+    first = _words(views, at, left, 0)
+    order = np.lexsort((left, first))
+    first = first[order]
     group = np.cumsum(np.concatenate(([0], (first[1:] != first[:-1]).astype(np.int64)))) if len(at) else np.zeros(0, np.int64)
     word, most = 1, int(left.max(initial=0))
     while word * 8 < most:
@@ -36,7 +48,7 @@ def direct_sort(buf: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray
         if not len(some):
             break
         who = order[some]
-        value = _words(buf, at[who], left[who], word)
+        value = _words(views, at[who], left[who], word)
         by = np.lexsort((left[who], value, group[some]))
         order[some], value, g = who[by], value[by], group[some][by]
         step = np.concatenate(([True], (value[1:] != value[:-1]) | (g[1:] != g[:-1])))
@@ -63,7 +75,8 @@ def suffix_array(buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     known = np.flatnonzero(sign)
     is_l = sign[known[np.searchsorted(known, np.arange(n))]] > 0
     s_at = np.flatnonzero(~is_l)
-    s_at = s_at[direct_sort(buf, s_at, left[s_at])]
+    views, moved = _padded(buf, lengths)
+    s_at = s_at[direct_sort(views, s_at + moved[s_at], left[s_at])]
     s_first = buf[s_at]
     s_cut = np.searchsorted(s_first, np.arange(257))
     begins = np.zeros(n, bool)
@@ -104,10 +117,12 @@ def suffix_array(buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shares(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, step: int = 1 << 16) -> np.ndarray:
+def shares(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the suffixes at a and b, at least so long each, share a prefix of the length."""
-    out = np.zeros(len(a), bool)
-    span = np.arange(length)
-    for k in range(0, len(a), step):
-        out[k : k + step] = (buf[a[k : k + step, None] + span] == buf[b[k : k + step, None] + span]).all(axis=1)
+    views = _views(np.concatenate([buf, np.zeros(8, np.uint8)]))
+    out = np.ones(len(a), bool)
+    for k in range(0, length, 8):
+        step = min(8, length - k)
+        some = np.flatnonzero(out)
+        out[some] = (views[a[some] + k] ^ views[b[some] + k]) >> np.uint64(64 - 8 * step) == 0
     return out
