@@ -122,7 +122,7 @@ def dependences(hot: np.ndarray, post: np.ndarray) -> np.ndarray:
     info = np.zeros((m, m))
     for q in (1 - post, post):
         total = q.sum() + 1e-9
-        both = ((hot * q[:, None]).T @ hot / total).reshape(m, 3, m, 3)
+        both = ((hot * q.astype(np.float32)[:, None]).T @ hot / total).reshape(m, 3, m, 3)
         alone = np.einsum("iaia->ia", both)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = both * np.log(both / (alone[:, :, None, None] * alone[None, None]))
@@ -145,8 +145,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 200, correla
     half count; a table beside a parent's vote is drawn to the voter's own by two counts.
     """
     n, m = votes.shape
-    code = votes.astype(np.int64) + 1
-    hot = (code[:, :, None] == np.arange(3)).reshape(n, 3 * m).astype(float) if correlated else np.zeros((n, 0))
+    code = votes.astype(np.int8) + np.int8(1)
+    hot = (code[:, :, None] == np.arange(3)).reshape(n, 3 * m).astype(np.float32) if correlated else np.zeros((n, 0))
     post, parent, step = np.asarray(start, float), np.full(m, -1), 0
     for step in range(1, rounds + 1):
         if correlated and step in (1, 2, 4, 8, 16):
@@ -160,7 +160,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 200, correla
                 if parent[j] < 0:
                     voice.append(np.log(own)[code[:, j]])
                 else:
-                    pair = code[:, parent[j]] * 3 + code[:, j]
+                    pair = code[:, parent[j]].astype(np.int64) * 3 + code[:, j]
                     beside = np.bincount(pair, q, 9).reshape(3, 3)
                     beside = (beside + 2 * own) / (beside.sum(axis=1, keepdims=True) + 2)
                     voice.append(np.log(beside).ravel()[pair])
