@@ -42,14 +42,12 @@ HOT = 50_000
 OUT = ("fingerprint", "component_id")
 ROW = f"{HIDDEN}row"
 
-#: Of the verified search: words of a shingle, numbers of 64 bits in a fingerprint, bits of two
-#: of these in which candidates may differ (what Jaccard 0.8 makes likely, and five standard
-#: deviations), and the members of a meeting from which pairs are looked at in two rounds.
-WIDTH, WORDS, REACH, LARGE = 5, 4, 38, 64
+#: Of the verified search: words of a shingle, numbers of 64 bits in a fingerprint, bits of the
+#: number in which candidates may differ (Jaccard 0.8 makes 9.7 likely, with a deviation of 2.9),
+#: and the members of a meeting from which it is too large for all its pairs at once.
+WIDTH, WORDS, REACH, LARGE = 5, 4, 18, 64
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 500_000
-#: Neighbours in the order of fingerprints that a member of a large meeting is paired with in the first round.
-NEXT = 4
 
 
 def cuts(n: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -300,64 +298,67 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide_visits(segs: Segments):
-    """(node, a, b) to (key, node, a, b) for the tables of a's segments."""
+    """(node, a) to (key, node, a) for the tables of a's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            node, a = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for keys, who in ball(a.view(np.uint64), 0, segs):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x[who]) for x in (node, a, b))], names=["key", "node", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(a[who])], names=["key", "node", "a"])
 
     return run
 
 
 NUMBERS = [f"w{k}" for k in range(WORDS)]
-VISITS = "key bigint, node bigint, a bigint, b bigint"
-#: Candidates u > v where key, a and b are null; else members u of a large meeting.
-MET = "key bigint, u bigint, v bigint, a bigint, b bigint"
+VISITS = "key bigint, node bigint, a bigint"
+#: Candidates u > v where key is null, with a = 1 for those to look at first; else members u, a of a large meeting.
+MET = "key bigint, u bigint, v bigint, a bigint"
 
 
-def _met(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+def _met(u: np.ndarray, v: np.ndarray, star: bool = False) -> pa.RecordBatch:
     both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
-    none = pa.nulls(len(both), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(both[:, 0]), pa.array(both[:, 1]), none, none], names=["key", "u", "v", "a", "b"])
-
-
-def _near(a: np.ndarray, b: np.ndarray, a2: np.ndarray, b2: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ a2).view(np.uint64)) + np.bitwise_count((b ^ b2).view(np.uint64)) <= REACH
-
-
-def _first_round(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All candidates of small meetings; of large ones the members, and candidates next to each other by fingerprint."""
-    by = np.lexsort((b, a, key))
-    key, node, a, b = key[by], node[by], a[by], b[by]
-    size = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)])))
-    large = np.repeat(size, size) > LARGE
-    left, right = [node[:0]], [node[:0]]
-    for part, most in ((~large, LARGE - 1), (large, NEXT)):
-        k, n, f, g = key[part], node[part], a[part], b[part]
-        for step in range(1, min(most, len(k) - 1) + 1):
-            same = np.flatnonzero(k[step:] == k[:-step])
-            if not len(same):
-                break
-            same = same[_near(f[same + step], g[same + step], f[same], g[same])]
-            left.append(n[same + step])
-            right.append(n[same])
+    flag = pa.array(np.full(len(both), int(star)))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), flag], names=["key", "u", "v", "a"])
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= REACH
+
+
+def _first_round(key: np.ndarray, node: np.ndarray, a: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Candidates with the least node of each meeting; of small meetings all others as well, of large ones the members."""
+    by = np.lexsort((node, key))
+    key, node, a = key[by], node[by], a[by]
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((cut, [len(key)])))
+    least, large = np.repeat(cut, size), np.repeat(size, size) > LARGE
+    hit = np.flatnonzero(_near(a, a[least]))
+    yield _met(node[hit], node[least[hit]], star=True)
+    rest = np.flatnonzero(~large & (np.arange(len(key)) != least))
+    k, n, f = key[rest], node[rest], a[rest]
+    left, right = [n[:0]], [n[:0]]
+    for step in range(1, min(LARGE - 1, len(k) - 1) + 1):
+        same = np.flatnonzero(k[step:] == k[:-step])
+        if not len(same):
+            break
+        same = same[_near(f[same + step], f[same])]
+        left.append(n[same + step])
+        right.append(n[same])
     yield _met(np.concatenate(left), np.concatenate(right))
     if large.any():
-        rows = {"key": key[large], "u": node[large], "v": node[large], "a": a[large], "b": b[large]}
+        rows = {"key": key[large], "u": node[large], "v": node[large], "a": a[large]}
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
 
 
-def _second_round(key: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _second_round(key: np.ndarray, node: np.ndarray, a: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The candidates of large meetings that the first round has not connected."""
     for at, n in zip(*np.unique(key, return_index=True, return_counts=True)[1:], strict=True):
-        x, f, g, (names, klass, size) = node[at : at + n], a[at : at + n], b[at : at + n], np.unique(root[at : at + n], return_inverse=True, return_counts=True)
+        x, f, (names, klass, size) = node[at : at + n], a[at : at + n], np.unique(root[at : at + n], return_inverse=True, return_counts=True)
         if len(names) == 1:
             continue
         most = int(size.argmax())
         for i in np.flatnonzero(klass != most):  # a pair of two smaller classes is found twice, one with the largest once
-            hit = np.flatnonzero((klass != klass[i]) & _near(f, g, f[i], g[i]))
+            hit = np.flatnonzero((klass != klass[i]) & _near(f, f[i]))
             if len(hit):
                 yield _met(np.full(len(hit), x[i]), x[hit])
 
@@ -393,10 +394,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Of a written table docs (row, id, text): nodes (node, first: the least (id is null, id, row) that has this set of shingles) and links (u, v), u > v.
 
-    Linked nodes have Jaccard 0.8 or more, compared in full. Pairs are compared if a segment of
-    one of their fingerprints' numbers differs in two bits at most and this number and the next
-    differ in REACH at most. Each number's tables are a pass of their own, so that no more than
-    one pass is on disk.
+    Linked nodes have Jaccard 0.8 or more, compared in full. Pairs are candidates if a segment
+    of one of their fingerprints' numbers differs in two bits at most and that number in REACH at
+    most. Each number's tables are a pass of their own, so that no more than one pass is on disk.
+    Candidates with the least node of a meeting are compared first, then those that are not
+    connected by then: the links connect what all pairs connect, without being all pairs.
     """
     marked = scratch.keep(docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(_wide, "row bigint, node bigint, " + ", ".join(f"{w} bigint" for w in NUMBERS)), "marked")
     ids = docs.select("row", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first"))
@@ -404,8 +406,8 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
     scratch.drop(marked)
     segs = tuple((a, b, 2) for a, b in cuts(each.count()))
     passes = []
-    for k, w in enumerate(NUMBERS):
-        nodes = each.select("node", F.col(w).alias("a"), F.col(NUMBERS[(k + 1) % WORDS]).alias("b"))
+    for w in NUMBERS:
+        nodes = each.select("node", F.col(w).alias("a"))
         visits = nodes.mapInArrow(_wide_visits(segs), VISITS)
         # a meeting of more than ``hot`` visitors has a value near it that many nodes have themselves
         if not own_values(nodes, "a", segs).where(F.col("n") * (1 + max(b for _, b, _ in segs)) > hot).isEmpty():
@@ -426,13 +428,17 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
             scratch.drop(done)
         return links
 
-    links = verified(met.where("key is null"))
-    large = met.where("key is not null").select("key", F.col("u").alias("node"), "a", "b")
-    if not large.isEmpty():
-        roots = components(links, scratch)
-        # keys of different passes may be equal; that only means a check in vain
-        named = large.join(roots, "node", "left").select("key", "node", "a", "b", F.coalesce("root", "node").alias("root"))
-        links = links.unionByName(verified(by_key(named).mapInArrow(whole_keys(_second_round), MET)))
+    links = verified(met.where("key is null and a = 1"))
+    roots = scratch.keep(components(links, scratch), "roots")
+    # only what is not yet connected is looked at again
+    rest = met.where("key is null and a = 0").select("u", "v").distinct()
+    for end in "uv":
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    more = rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    # keys of different passes may be equal; that only means a check in vain
+    large = met.where("key is not null").select("key", F.col("u").alias("node"), "a").join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
+    more = more.unionByName(by_key(large).mapInArrow(whole_keys(_second_round), MET).select("u", "v"))
+    links = links.unionByName(verified(more))
     return each.select("node", "first"), links
 
 
