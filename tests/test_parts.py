@@ -10,7 +10,6 @@ from tidestep.functions.missing import MISSING, compare_tagged, missing, sort_ke
 from tidestep.functions.types import CHAR, NUM, TypeHandler, char_value, get_type, has_type, infer_type, num_value, register_type, type_names
 from tidestep.operators.merge import match_merge, matched, update
 from tidestep.operators.step import DataStep
-from tidestep.plans.advisor import report
 from tidestep.sources.dialects import DIALECTS, declare
 from tidestep.sources.readers import CursorRows, database_source, from_dicts, set_source, text_source
 
@@ -88,7 +87,7 @@ def test_merge_does_not_leak_and_last_write_wins(spark):
     got = match_merge({"X": set_source(x, order_by=["_obs"]), "Y": set_source(y, order_by=["_obs"])}, ["id"]).df.orderBy("id").select("v", "w").collect()
     assert [tuple(r) for r in got] == [(99, 7), (None, 8)]
     a, b = (spark.createDataFrame([(1, f"from_{s}")], "id int, shared string") for s in "ab")
-    assert match_merge({"A": set_source(a), "B": set_source(b)}, ["id"]).df.first()["shared"] == "from_b"
+    assert match_merge({"A": set_source(a, order_by=["shared"]), "B": set_source(b, order_by=["shared"])}, ["id"]).df.first()["shared"] == "from_b"
 
 
 def test_merge_of_three_with_null_keys_and_values(spark):
@@ -105,7 +104,9 @@ def test_merge_of_three_with_null_keys_and_values(spark):
 def test_unique_sources_join_once(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, a string")
     b = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "id int, b int")
-    slow = match_merge({"A": set_source(a), "B": set_source(b, order_by=["b"])}, ["id"], {"A": "inA", "B": "inB"})
+    with pytest.raises(ValueError, match="order_by"):
+        match_merge({"A": set_source(a), "B": set_source(b, order_by=["b"])}, ["id"])
+    slow = match_merge({"A": set_source(a, order_by=["a"]), "B": set_source(b, order_by=["b"])}, ["id"], {"A": "inA", "B": "inB"})
     fast = match_merge({"A": set_source(a), "B": set_source(b, order_by=["b"])}, ["id"], {"A": "inA", "B": "inB"}, unique=["A"])
     pick = lambda s: sorted(map(str, s.df.select("id", "a", "b", "inA", "inB", "_pos").collect()))
     assert pick(slow) == pick(fast)
@@ -189,8 +190,9 @@ def plain(pdv):
 
 
 def test_advisor(spark):
-    r = report(step, ["qty"])
+    df = spark.createDataFrame([(1, 2)], "qty int, o int")
+    r = DataStep(df, step, order_by=["o"]).explain_step()
     assert r.path == "hybrid" and [x.category for x in r.lines] == ["batch", "irreducible", "tool-limited", "dependency", "cardinality"]
     assert r.lines[1].blockers == ("lag(n=1)",) and r.lines[3].blockers == ("before",) and "hybrid" in r.text
-    assert report(plain, ["x"]).path == "vector"
+    assert DataStep(spark.range(1).toDF("x"), plain).explain_step().path == "vector"
     assert r.to_df(spark).count() == 5

@@ -40,11 +40,13 @@ def seconds(col: Column) -> Column:
 
 
 def to_date(col: Column) -> Column:
-    return F.date_add(F.lit(DATE_EPOCH), F.floor(col).cast("int"))
+    """The date of a day number, whose fraction is cut off towards zero."""
+    return F.date_add(F.lit(DATE_EPOCH), col.cast("int"))
 
 
 def to_datetime(col: Column) -> Column:
-    return F.timestamp_add("SECOND", F.floor(col).cast("bigint"), F.lit("1960-01-01 00:00:00").cast("timestamp_ntz"))
+    """The timestamp of a second number, whose fraction is cut off towards zero."""
+    return F.timestamp_add("SECOND", col.cast("bigint"), F.lit("1960-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def num_column(col: Column, kind: T.DataType, length: int | None = None) -> Column:

@@ -24,6 +24,7 @@ def match_merge(sources: dict[str, Source], by: Sequence[str], in_flags: dict[st
     ``in_scope="row"``: a flag is 1 only where its source still had a row; ``"group"``: in the
     whole key group. Missing keys form one group, below all others. unique: names of sources
     known to have one row for a key at most; if all but one are, this is an ordinary full join.
+    The rows of a key in any other source need an order; without one this is an error.
     """
     flags = dict(in_flags or {})
     names, by = list(sources), list(by)
@@ -33,6 +34,8 @@ def match_merge(sources: dict[str, Source], by: Sequence[str], in_flags: dict[st
             if c not in by:
                 shared.setdefault(c, []).append(s)
     many = [s for s in names if s not in unique]
+    if unordered := [s for s in many if not sources[s].order_by]:
+        raise ValueError(f"sources {unordered} give order_by, or are named in unique")
 
     def key(side: str, k: int) -> str:
         return f"__k_{side}_{k}"
@@ -42,8 +45,8 @@ def match_merge(sources: dict[str, Source], by: Sequence[str], in_flags: dict[st
         src = sources[s]
         columns = [F.col(c).alias(key(s, k)) for k, c in enumerate(by)] + [F.col(c).alias(f"__v_{s}_{c}") for c in src.df.columns if c not in by]
         each = Window.partitionBy(*by)
-        order = [F.col(c).asc_nulls_first() for c in src.order_by] or [F.lit(1)]
-        if len(many) > 1 or s in many:
+        order = [F.col(c).asc_nulls_first() for c in src.order_by]
+        if s in many:
             columns += [F.row_number().over(each.orderBy(*order)).alias(f"__r_{s}"), F.count(F.lit(1)).over(each).alias(f"__n_{s}")]
         else:
             columns += [F.lit(1).alias(f"__r_{s}"), F.lit(1).cast("bigint").alias(f"__n_{s}")]

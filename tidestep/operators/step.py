@@ -89,12 +89,12 @@ class DataStep:
             self.body: tuple[ir.Node, ...] | None = parse(logic)
         except Unsupported as e:
             self.body, self.cause = None, str(e)
-        self._lowering: Lowering | None = None
+        self._seen: Lowering | None = None
         self._tier: str | None = None
 
     @property
     def tier(self) -> str:
-        """row, window, group (a fold by group), sequential (a fold in one task) or opaque."""
+        """row, window, group (a fold by group), sequential (a fold in one task) or opaque. No job runs to tell."""
         if self._tier is None:
             self._tier = self._choose()
         return self._tier
@@ -103,18 +103,22 @@ class DataStep:
         if self.body is None:
             return "opaque"
         try:
-            low = Lowering(self.source, self.body, self.retain, self.declared, self.options)
-            low.run()
+            low = self._lowered(dry=True)
         except NotLowered as e:
             self.cause = str(e)
             return "group" if self.group_independent and self.source.by or free_groups(self.body, self.retain, self.source.by) else "sequential"
-        self._lowering = low
+        self._seen = low
         nodes = [n for s in self.body for n in s.walk()]
         return "window" if low.states or any(isinstance(n, (ir.Edge, ir.Lag, ir.Dif, ir.Auto)) for n in nodes) else "row"
 
+    def _lowered(self, dry: bool = False) -> Lowering:
+        low = Lowering(self.source, self.body, self.retain, self.declared, self.options, dry)
+        low.run()
+        return low
+
     def _rows(self) -> DataFrame:
         if self.tier in ("row", "window"):
-            return self._lowering.rows()
+            return self._lowered().rows()
         schema = self.output_schema or infer_schema(self.source, self.body, self.retain, self.declared)
         group = len(self.source.by) if self.group_independent else free_groups(self.body, self.retain, self.source.by) if self.body is not None else 0
         has_output = any(isinstance(n, ir.Output) for s in self.body for n in s.walk()) if self.body is not None else False
@@ -148,7 +152,7 @@ class DataStep:
         """How each statement is planned (plans/advisor.py)."""
         from tidestep.plans.advisor import report
 
-        return report(self.logic, self.source.df.columns, set(self.retain), tier=self.tier)
+        return report(self)
 
 
 def compile_step(logic: Callable[[Any], None], columns: Sequence[str], retain: dict[str, Any] | None = None) -> tuple[str, str]:

@@ -94,14 +94,12 @@ class Choose(Node):
 class Lag(Node):
     value: Node
     depth: int
-    site: int
 
 
 @dataclass(frozen=True)
 class Dif(Node):
     value: Node
     depth: int
-    site: int
 
 
 @dataclass(frozen=True)

@@ -121,6 +121,7 @@ class Lowering:
     retain: dict[str, object]
     declared: dict[str, Declaration]
     options: Options
+    dry: bool = False  # only to see what becomes of the step: no job runs, and the rows are not to be used
     df: DataFrame = field(init=False)
     env: dict[str, Column] = field(init=False)
     made: int = 0
@@ -134,7 +135,7 @@ class Lowering:
             raise ValueError("this step looks across rows: give order_by (or by)")
         self.df = self.source.df
         if any(isinstance(n, ir.Auto) for n in nodes) or self._open_lags():
-            self.df = numbered(self.df, self.order)
+            self.df = numbered(self.df, self.order, dry=self.dry)
         self.env = {c: F.col(c) for c in self.source.df.columns}
         for name, d in self.declared.items():
             self.env.setdefault(name, F.lit(None).cast(d.data_type))
@@ -147,6 +148,7 @@ class Lowering:
         self.null_guards: set[str] = set()
         self.unsure_output = self.unsure_delete = False
         self.live: Column | None = None
+        self.ready: dict[int, str] = {}  # lags looked up together, by the identity of their nodes
         self.names = [c for c in self.source.df.columns if c not in self.source.flags]
         self.names += [n for n in (*self.declared, *self.retain) if n not in self.names]
 
@@ -225,8 +227,11 @@ class Lowering:
             fmt = node.spec or (self.declared[node.name].fmt if node.name in self.declared else None)
             return format_column(col, fmt, self.kind(col).simpleString())
         if isinstance(node, (ir.Lag, ir.Dif)):
-            x = F.col(self.keep(self.expr(node.value, guard)))
-            before = self.lag(x, node.depth, guard)
+            if id(node) in self.ready:
+                before, x = F.col(self.ready[id(node)]), self.expr(node.value, guard)
+            else:
+                x = F.col(self.keep(self.expr(node.value, guard)))
+                before = self.lag(x, node.depth, guard)
             return before if isinstance(node, ir.Lag) else self.number(x) - self.number(before)
         raise NotLowered(type(node).__name__)
 
@@ -250,12 +255,25 @@ class Lowering:
             return a * b
         if op == "/":
             return a / b
-        if op == "%":  # takes the sign of the divisor
-            return ((a % b) + b) % b
-        if op == "//":
-            return F.call_function("div", a - (((a % b) + b) % b), b) if whole else F.floor(a / b).cast("double")
-        power = F.pow(a, b)
-        return power.cast("bigint") if whole and isinstance(node.right, ir.Const) and node.right.value >= 0 else power
+        if op in ("%", "//"):  # the remainder takes the sign of the divisor; a step wider than a double's is never added
+            rest = a % b
+            rest = F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+            if op == "%":
+                return rest
+            if whole:
+                return F.call_function("div", a - rest, b)
+            times = (a - rest) / b
+            below = F.floor(times).cast("double")
+            return F.when(times - below > 0.5, below + 1).otherwise(below)
+        exponent = node.right.value if isinstance(node.right, ir.Const) else None
+        if not whole or exponent is not None and exponent < 0:
+            return F.pow(a, b)
+        if exponent is None or exponent > 16:
+            raise NotLowered("a whole power that is not a short product")
+        power = F.lit(1).cast("bigint")
+        for _ in range(exponent):
+            power = power * a
+        return F.when(a.isNotNull(), power)
 
     def edge(self, node: ir.Edge) -> Column:
         if node.name not in self.by:
@@ -266,6 +284,26 @@ class Lowering:
                 self.edges[which, node.name] = F.col(self.keep(f(F.lit(1)).over(window).isNull()))
         return self.edges[node.which, node.name]
 
+    def look_ahead(self, start: int) -> None:
+        """Looks up together the lags of the assignments from start on that read nothing assigned on the way."""
+        wanted: dict[str, tuple[str, int]] = {}
+        done: set[str] = set()
+        for s in self.body[start:]:
+            if not isinstance(s, ir.Assign) or s.target in self.states:
+                break
+            for n in s.walk():
+                if isinstance(n, (ir.Lag, ir.Dif)) and id(n) not in self.ready:
+                    inner = [x for x in n.value.walk() if isinstance(x, (ir.Lag, ir.Dif))]
+                    if ir.reads(n.value) & (done | set(self.states)) or any(id(x) not in self.ready for x in inner):
+                        continue
+                    held = self.keep(self.expr(n.value, None))
+                    self.made += 1
+                    wanted[f"__s{self.made}"] = (held, n.depth)
+                    self.ready[id(n)] = f"__s{self.made}"
+            done.add(s.target)
+        if wanted:
+            self.df = look_back(self.df, wanted)
+
     def lag(self, x: Column, depth: int, guard: Column | None) -> Column:
         if guard is None:
             held, name = self.keep(x), f"__s{self.made + 1}"
@@ -277,7 +315,7 @@ class Lowering:
         held = self.keep(x)
         self.made += 1
         name, number, total = f"__s{self.made}", f"__n{self.made}", f"__t{self.made}"
-        here = look_back(numbered(self.df.where(g), self.order, number, total), {name: (held, depth)}, number).drop(number, total)
+        here = look_back(numbered(self.df.where(g), self.order, number, total, self.dry), {name: (held, depth)}, number).drop(number, total)
         others = self.df.where(~g).withColumn(name, F.lit(None).cast(self.kind(x)))
         self.df = here.unionByName(others)
         return F.col(name)
@@ -296,6 +334,8 @@ class Lowering:
 
     def run(self) -> None:
         for i, s in enumerate(self.body):
+            if self.live is None and isinstance(s, ir.Assign) and any(isinstance(n, (ir.Lag, ir.Dif)) and id(n) not in self.ready for n in s.walk()):
+                self.look_ahead(i)
             self.statement(s, None)
             for v, plan in self.states.items():
                 if plan.last == i:

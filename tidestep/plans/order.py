@@ -36,12 +36,14 @@ def keys(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
 
-def numbered(df: DataFrame, order: list[str], number: str = NUMBER, total: str = TOTAL) -> DataFrame:
-    """df with a 1-based place in the order and the number of rows.
+def numbered(df: DataFrame, order: list[str], number: str = NUMBER, total: str = TOTAL, dry: bool = False) -> DataFrame:
+    """df with a 1-based place in the order and the number of rows; dry: with columns that only have these names and types.
 
     Range partitions are sorted each on its own; the numbers of earlier partitions' rows are
     added, a table with one row for each partition.
     """
+    if dry:
+        return df.withColumns({number: F.lit(1).cast("bigint"), total: F.lit(1).cast("bigint")})
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = "__obs_at"
     placed = df.repartitionByRange(parts, *keys(order)).sortWithinPartitions(*keys(order)).withColumn(at, F.monotonically_increasing_id())
@@ -61,10 +63,11 @@ def look_back(df: DataFrame, wanted: dict[str, tuple[str, int]], number: str = N
     as well, so no block needs another.
     """
     most = max(n for _, n in wanted.values())
-    block, ghost = "__obs_block", "__obs_ghost"
+    own, block = "__obs_own", "__obs_block"
     size = max(BLOCK, most)
-    own = df.withColumn(block, F.floor((F.col(number) - 1) / size)).withColumn(ghost, F.lit(False))
-    tail = own.where((F.col(number) - 1) % size >= size - most).withColumns({block: F.col(block) + 1, ghost: F.lit(True)})
+    place = F.col(number) - 1
+    blocks = F.when(place % size >= size - most, F.array(own, F.col(own) + 1)).otherwise(F.array(own))
+    dealt = df.withColumn(own, F.floor(place / size)).withColumn(block, F.explode(blocks))
     window = Window.partitionBy(block).orderBy(number)
-    both = own.unionByName(tail).withColumns({name: F.lag(c, n).over(window) for name, (c, n) in wanted.items()})
-    return both.where(~F.col(ghost)).drop(block, ghost)
+    out = dealt.withColumns({name: F.lag(c, n).over(window) for name, (c, n) in wanted.items()})
+    return out.where(F.col(block) == F.col(own)).drop(own, block)
