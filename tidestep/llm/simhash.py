@@ -42,10 +42,11 @@ HOT = 50_000
 OUT = ("fingerprint", "component_id")
 ROW = f"{HIDDEN}row"
 
-#: Of the verified search: words of a shingle, numbers of 64 bits in a fingerprint, bits of the
-#: number in which candidates may differ (Jaccard 0.8 makes 9.7 likely, with a deviation of 2.9),
+#: Of the verified search: words of a shingle, numbers of 64 bits in a fingerprint, bits of
+#: another number in which candidates may differ (Jaccard 0.8 makes 9.7 likely, with a deviation of
+#: 2.9; the number whose segment has met says little more),
 #: and the members of a meeting from which it is too large for all its pairs at once.
-WIDTH, WORDS, REACH, LARGE = 5, 4, 18, 64
+WIDTH, WORDS, REACH, LARGE = 5, 4, 17, 64
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 500_000
 
@@ -298,19 +299,19 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wide_visits(segs: Segments):
-    """(node, a) to (key, node, a) for the tables of a's segments."""
+    """(node, a, b) to (key, node, b) for the tables of a's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, a = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            node, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for keys, who in ball(a.view(np.uint64), 0, segs):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(a[who])], names=["key", "node", "a"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(b[who])], names=["key", "node", "b"])
 
     return run
 
 
 NUMBERS = [f"w{k}" for k in range(WORDS)]
-VISITS = "key bigint, node bigint, a bigint"
+VISITS = "key bigint, node bigint, b bigint"
 #: Candidates u > v where key is null, with a = 1 for those to look at first; else members u, a of a large meeting.
 MET = "key bigint, u bigint, v bigint, a bigint"
 
@@ -369,9 +370,13 @@ def own_values(nodes: DataFrame, number: str, segs: Segments) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def salted_join(pairs: DataFrame, facts: DataFrame, key: str, other: str, parts: int = 1024, salts: int = 64) -> DataFrame:
-    """pairs joined with facts, which have one row for a key; a key that holds more than 1/parts of the pairs is spread over ``salts`` by the other column."""
-    heavy = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * parts > pairs.count()).select(key)  # fewer than ``parts`` rows
+def salted_join(pairs: DataFrame, facts: DataFrame, key: str, other: str, parts: int = 1024, least: int = 200, salts: int = 8) -> DataFrame:
+    """pairs joined with facts, which have one row for a key.
+
+    A key that holds more than 1/parts of the pairs, and more than ``least``, is spread over
+    ``salts`` by the other column; its facts go as often, so few keys should.
+    """
+    heavy = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(pairs.count() / parts, least)).select(key)  # fewer than ``parts`` rows
     salt = F.pmod(F.xxhash64(other), F.lit(salts)).cast("int")
     hot = pairs.join(F.broadcast(heavy), key, "left_semi").withColumn("salt", salt)
     hot_facts = facts.join(F.broadcast(heavy), key, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -395,8 +400,8 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
     """Of a written table docs (row, id, text): nodes (node, first: the least (id is null, id, row) that has this set of shingles) and links (u, v), u > v.
 
     Linked nodes have Jaccard 0.8 or more, compared in full. Pairs are candidates if a segment
-    of one of their fingerprints' numbers differs in two bits at most and that number in REACH at
-    most. Each number's tables are a pass of their own, so that no more than one pass is on disk.
+    of one of their fingerprints' numbers differs in two bits at most and the next number in REACH
+    at most. Each number's tables are a pass of their own, so that no more than one pass is on disk.
     Candidates with the least node of a meeting are compared first, then those that are not
     connected by then: the links connect what all pairs connect, without being all pairs.
     """
@@ -406,8 +411,8 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
     scratch.drop(marked)
     segs = tuple((a, b, 2) for a, b in cuts(each.count()))
     passes = []
-    for w in NUMBERS:
-        nodes = each.select("node", F.col(w).alias("a"))
+    for k, w in enumerate(NUMBERS):
+        nodes = each.select("node", F.col(w).alias("a"), F.col(NUMBERS[(k + 1) % WORDS]).alias("b"))
         visits = nodes.mapInArrow(_wide_visits(segs), VISITS)
         # a meeting of more than ``hot`` visitors has a value near it that many nodes have themselves
         if not own_values(nodes, "a", segs).where(F.col("n") * (1 + max(b for _, b, _ in segs)) > hot).isEmpty():
