@@ -42,6 +42,8 @@ WORDS = 8
 #: Twice the log likelihood ratio from which two voters depend on each other given the class (eight degrees of freedom).
 DEPENDENT = 26.1
 THRESHOLD = 0.5
+#: Share of rows from which a posterior that differs from the annotators has found another class, as it can with few rows; EM's start is used then.
+LOST = 0.1
 #: How often the classifier counts a toxic row, of which there are few.
 RARE = 2
 ADDRESS = re.compile(r"\b(?:you|your|tu|vous|du|ihr|usted|eres)\b", re.I)
@@ -242,7 +244,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
     gold = (got.y > 0).to_numpy().astype(int)
     lexicon, clean = pick_lexicon(top), pick_lexicon(top, -1)
     votes = vote_matrix([set(map(int, h)) for h in got.hits], lexicon, clean, np.array(got.fixed.tolist(), np.int8), gold)
-    labels_ = label_model(votes, np.where(gold > 0, 0.9, 0.1))
+    start = np.where(gold > 0, 0.9, 0.1)
+    labels_ = label_model(votes, start)
+    if ((labels_.post > 0.5) != (gold > 0)).mean() > LOST:
+        labels_.post = start
     rows_ = np.repeat(np.arange(len(got)), [len(h) for h in got.hits])
     cols = np.concatenate([np.asarray(h, np.int64) for h in got.hits]) if len(rows_) else np.zeros(0, np.int64)
     w, b = fit_linear(rows_, cols, len(got), len(vocabulary), labels_.post)
