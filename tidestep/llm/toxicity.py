@@ -218,7 +218,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents. Without both classes nothing is toxic."""
+    """Fit on at most ``rows`` labelled documents. Without toxic rows, or a term that tells classes apart, nothing is toxic; without clean rows everything."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.keep(training_rows(docs, labels, "toxic", usable, rows, id_col, text_col), "sample")
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0))).first()
@@ -230,6 +230,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_
     expected = (F.col("toxic") + F.col("clean")) * F.lit(pos / n)
     z = (F.col("toxic") - expected) / F.sqrt(expected + 1)
     top = counted.where("toxic + clean >= 3").select("term", "clean", "toxic", z.alias("z")).where(F.abs("z") >= NOTABLE).orderBy(F.desc(F.abs("z")), "term").limit(TERMS).toPandas()
+    if top.empty:
+        scratch.drop()
+        return ToxicityModel(rows=n)
     vocabulary = {t: i for i, t in enumerate(top.term)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
