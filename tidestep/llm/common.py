@@ -44,6 +44,11 @@ def scratch_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def tidy(spark: SparkSession) -> None:
+    """From now on the session's queries remove their shuffle files as they end."""
+    spark.conf.set(CLEANUP, "true")
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
