@@ -84,6 +84,35 @@ def test_links_against_brute_force(spark, monkeypatch, large, hot):
     assert len(mine) - len(all_) <= 0.05 * (len(sets) - len(all_)) and max(map(len, mine)) == max(map(len, all_))
 
 
+def kept_components(spark, texts, **more):
+    """The components of the sets of shingles that the links make, and those of all similar pairs."""
+    scratch = Scratch(spark, "test")
+    docs = scratch.keep(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row bigint, id bigint, text string"))
+    nodes, links = similar_links(docs, scratch, **more)
+    first = {r.node: r["first"].row for r in nodes.collect()}
+    pairs = [(shingles(texts[first[r.u]]), shingles(texts[first[r.v]])) for r in links.collect()]
+    sets = list(dict.fromkeys(map(shingles, texts)))
+    return {frozenset(g) for g in components(sets, pairs)}, {frozenset(g) for g in components(sets, brute(sets))}
+
+
+@pytest.mark.parametrize(("halves", "large", "hot"), [(False, 64, 50_000), (True, 64, 50_000), (False, 4, 20)])
+def test_no_similar_pair_is_lost_whatever_the_size(spark, monkeypatch, halves, large, hot):
+    """Pairs at 0.8, with the segments of few and of many fingerprints, and with split meetings."""
+    if halves:
+        monkeypatch.setattr(simhash, "cuts", lambda n, bits=64: [(0, bits // 2), (bits // 2, bits // 2)])
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "OFTEN", 3)
+    rng, texts = random.Random(8), []
+    for k in range(80):
+        # 9 a shingles, of which another end of a words takes a: 8 a of 10 a in common
+        at = rng.choice([1, 2, 5, 10])
+        base = [f"p{k}q{j}" for j in range(9 * at + 4)]
+        texts += [" ".join(base), " ".join([*base[: len(base) - at], *(f"r{k}s{j}" for j in range(at))]), " ".join([*base[:-at], *(f"t{k}u{j}" for j in range(at))])]
+    texts += [*family(rng, 60), *edited(rng, 30)]
+    got, want = kept_components(spark, texts, hot=hot)
+    assert got == want and sum(len(g) > 1 for g in want) > 60
+
+
 def test_segments_cover_the_distance():
     for n in (1, 10**6, 2**21, 2**22, 10**10):
         for distance in (2, 3, 4, 5):

@@ -15,14 +15,15 @@
    fingerprint gives a star for each component instead of all pairs.
 5. Components are joined by distributed star steps (components.py).
 
-``similar_links`` uses the same tables with fingerprints of 256 bits and radius 2 to find
-candidates far beyond that distance, and then compares their shingles in full.
+``similar_links`` takes these links as its first candidates and finds the rest exactly, by the
+prefix filter: of two sets of Jaccard 0.8 or more, the first fifth of each, in any one order of all
+shingles, has a shingle in common. Frequent shingles come last in that order, and parity bitmaps,
+which never differ in more bits than two sets do in shingles, rule out most pairs that meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,14 @@ HOT = 50_000
 OUT = ("fingerprint", "component_id")
 ROW = f"{HIDDEN}row"
 
-#: Of the verified search: words of a shingle, numbers of 64 bits in a fingerprint, bits of
-#: another number in which candidates may differ (Jaccard 0.8 makes 9.7 likely, with a deviation of
-#: 2.9; the number whose segment has met says little more),
-#: and the members of a meeting from which it is too large for all its pairs at once.
-WIDTH, WORDS, REACH, LARGE = 5, 4, 17, 64
+#: Of the verified search: words of a shingle, words of 64 bits in a parity bitmap, and the
+#: members of a meeting from which its pairs are looked at by member.
+WIDTH, BITMAP, LARGE = 5, 8, 64
+#: Documents whose shingles are counted, from how many of these a shingle is frequent, and how many
+#: frequent shingles come last in the order. Any order gives the same links.
+SAMPLED, OFTEN, MOST_FREQUENT = 4096, 4, 50_000
+#: Slots by which texts are left out before a join; they bound what is broadcast.
+SLOTS = 1 << 22
 #: Words whose hashes a worker remembers.
 MOST_WORDS = 500_000
 
@@ -129,15 +133,38 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def wide_fingerprint(shingles: np.ndarray) -> list[int]:
-    """WORDS numbers of 64 bits for a set of shingles: of their hashes, and of these mixed anew."""
+def wide_fingerprint(shingles: np.ndarray, numbers: int = 4) -> list[int]:
+    """Numbers of 64 bits for a set of shingles: of their hashes, and of these mixed anew."""
     out = []
-    for _ in range(WORDS):
+    for _ in range(numbers):
         out.append(_majority(iter([shingles])))
         shingles = _mixed(shingles + np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP words whose bits tell whether an odd number of a set's shingles falls on them."""
+    odd = np.bincount((shingles % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which two sets of Jaccard 0.8 or more have one in common.
+
+    The order: those that are not frequent by hash, then the frequent ones (sorted) by rank.
+    Of fewer than four shingles only equal sets are similar, so they need none.
+    """
+    n = len(shingles)
+    if n < 4:
+        return shingles[:0]
+    most = n - (4 * n + 4) // 5 + 1
+    at = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
+    often = frequent[at] == shingles if len(frequent) else np.zeros(n, bool)
+    rare = shingles[~often][:most]
+    last = shingles[often][np.argsort(rank[at[often]])] if len(rare) < most else shingles[:0]
+    return np.concatenate((rare, last[: most - len(rare)]))
+
+
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,87 +314,160 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, node, w0, w1, ...): the hash of the set of shingles, and its fingerprint."""
-    for batch in batches:
-        out = []
-        for t in batch.column(1).cast(pa.binary()):
-            s = shingle_set(t.as_py() or b"")
-            out.append((xxhash.xxh64_intdigest(s.tobytes()), *wide_fingerprint(s)))
-        columns = np.array(out, np.uint64).reshape(-1, 1 + WORDS).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[:, k]) for k in range(1 + WORDS))], names=["row", "node", *NUMBERS])
+BITS = [f"b{k}" for k in range(BITMAP)]
+PAIRS = "u bigint, v bigint"
 
 
-def _wide_visits(segs: Segments):
-    """(node, a, b) to (key, node, b) for the tables of a's segments."""
+def _marks(frequent: np.ndarray, rank: np.ndarray):
+    """(row, id, text) to (row, id, node, fp, size, b0, ..., keys): the hash of the set of shingles, its fingerprint, size, bitmap and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for keys, who in ball(a.view(np.uint64), 0, segs):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[who]), pa.array(b[who])], names=["key", "node", "b"])
+            out, keys = [], []
+            for t in batch.column(2).cast(pa.binary()):
+                s = shingle_set(t.as_py() or b"")
+                out.append((xxhash.xxh64_intdigest(s.tobytes()), *wide_fingerprint(s, 1), len(s), *bitmap(s).tolist()))
+                keys.append(prefix(s, frequent, rank).view(np.int64))
+            columns = np.array(out, np.uint64).reshape(-1, 3 + BITMAP).view(np.int64)
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            numbers = [pa.array(np.ascontiguousarray(columns[:, k])) for k in range(3 + BITMAP)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, lists], names=["row", "id", "node", "fp", "size", *BITS, "keys"])
 
     return run
 
 
-NUMBERS = [f"w{k}" for k in range(WORDS)]
-VISITS = "key bigint, node bigint, b bigint"
-#: Candidates u > v where key is null, with a = 1 for those to look at first; else members u, a of a large meeting.
-MET = "key bigint, u bigint, v bigint, a bigint"
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of about SAMPLED documents have, sorted, and the place of each among them, the rarest first."""
+    one_in = max(1, docs.count() // SAMPLED)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select(F.col("row").alias("node"), F.col("text").cast("string").alias("text"))
+    counted = some.mapInArrow(_sets, "node bigint, s array<bigint>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).collect()
+    found = np.array([r.s for r in rows], np.int64).view(np.uint64)
+    by = np.argsort(found)
+    return found[by], -by
 
 
-def _met(u: np.ndarray, v: np.ndarray, star: bool = False) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
-    flag = pa.array(np.full(len(both), int(star)))
-    return pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), flag], names=["key", "u", "v", "a"])
+def _several(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose key is not alone."""
+    same = key[1:] == key[:-1]
+    hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], names=["key", "node"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets with bitmaps a and b and sizes m and n may have Jaccard 0.8 or more; never false where they have."""
+    fit = 4 * np.maximum(m, n) <= 5 * np.minimum(m, n)
+    return fit & (9 * np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= m + n)
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= REACH
+def _met(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["u", "v"])
 
 
-def _first_round(key: np.ndarray, node: np.ndarray, a: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Candidates with the least node of each meeting; of small meetings all others as well, of large ones the members."""
+def _grouped(key: np.ndarray, node: np.ndarray, columns: tuple[np.ndarray, ...]):
+    """The columns sorted by key and node, the start of each key, and how many rows it has."""
     by = np.lexsort((node, key))
-    key, node, a = key[by], node[by], a[by]
+    key = key[by]
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((cut, [len(key)])))
-    least, large = np.repeat(cut, size), np.repeat(size, size) > LARGE
-    hit = np.flatnonzero(_near(a, a[least]))
-    yield _met(node[hit], node[least[hit]], star=True)
-    rest = np.flatnonzero(~large & (np.arange(len(key)) != least))
-    k, n, f = key[rest], node[rest], a[rest]
-    left, right = [n[:0]], [n[:0]]
-    for step in range(1, min(LARGE - 1, len(k) - 1) + 1):
-        same = np.flatnonzero(k[step:] == k[:-step])
+    return key, node[by], [c[by] for c in columns], cut, np.diff(np.concatenate((cut, [len(key)])))
+
+
+def _steps(key: np.ndarray, most: int, left: list[np.ndarray], right: list[np.ndarray], node: np.ndarray, fits: Callable[..., np.ndarray]) -> None:
+    """All pairs of one key that fit, by their distance in the order; no key has more than ``most`` rows."""
+    for step in range(1, min(most, len(key))):
+        same = np.flatnonzero(key[step:] == key[:-step])
         if not len(same):
             break
-        same = same[_near(f[same + step], f[same])]
-        left.append(n[same + step])
-        right.append(n[same])
-    yield _met(np.concatenate(left), np.concatenate(right))
-    if large.any():
-        rows = {"key": key[large], "u": node[large], "v": node[large], "a": a[large]}
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], names=list(rows))
-
-
-def _second_round(key: np.ndarray, node: np.ndarray, a: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The candidates of large meetings that the first round has not connected."""
-    for at, n in zip(*np.unique(key, return_index=True, return_counts=True)[1:], strict=True):
-        x, f, (names, klass, size) = node[at : at + n], a[at : at + n], np.unique(root[at : at + n], return_inverse=True, return_counts=True)
-        if len(names) == 1:
+        same = same[fits(same + step, same)]
+        left.append(node[same + step])
+        right.append(node[same])
+
+
+def _first_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of each meeting that may be similar: with its least node, and of those left over with one another; in large ones only until each is found once."""
+    key, node, (m, *words), cut, count = _grouped(key, node, (size, *bits))
+    w = np.stack(words, axis=1)
+    least = np.repeat(cut, count)
+    hit = _near(w, w[least], m, m[least])
+    left, right = [node[hit]], [node[least[hit]]]
+    rest = np.flatnonzero(~hit)
+    large = np.repeat(count, count)[rest] > LARGE
+    few = rest[~large]
+    _steps(key[few], LARGE, left, right, node[few], lambda i, j: _near(w[few[i]], w[few[j]], m[few[i]], m[few[j]]))
+    many = rest[large]
+    for todo in np.split(many, np.flatnonzero(key[many][1:] != key[many][:-1]) + 1) if len(many) else ():
+        queue: list[int] = []
+        while len(todo):
+            if queue:
+                x = queue.pop()
+            else:
+                x, todo = todo[0], todo[1:]
+            near = _near(w[todo], w[x], m[todo], m[x])
+            if near.any():
+                found, todo = todo[near], todo[~near]
+                left.append(node[found])
+                right.append(np.full(len(found), node[x]))
+                queue.extend(found)
+    yield _met(left, right)
+
+
+def _second_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs of each meeting that may be similar and are not connected yet."""
+    key, node, (m, r, *words), cut, count = _grouped(key, node, (size, root, *bits))
+    w = np.stack(words, axis=1)
+    mixed = np.repeat(np.logical_or.reduceat(r != np.repeat(r[cut], count), cut), count) if len(key) else np.zeros(0, bool)
+    large = np.repeat(count, count) > LARGE
+    few = np.flatnonzero(mixed & ~large)
+    left, right = [], []
+    _steps(key[few], LARGE, left, right, node[few], lambda i, j: (r[few[i]] != r[few[j]]) & _near(w[few[i]], w[few[j]], m[few[i]], m[few[j]]))
+    for at, n in zip(cut, count, strict=True):
+        if n <= LARGE or not mixed[at]:
             continue
-        most = int(size.argmax())
-        for i in np.flatnonzero(klass != most):  # a pair of two smaller classes is found twice, one with the largest once
-            hit = np.flatnonzero((klass != klass[i]) & _near(f, f[i]))
-            if len(hit):
-                yield _met(np.full(len(hit), x[i]), x[hit])
+        own = slice(at, at + n)
+        names, klass, sizes = np.unique(r[own], return_inverse=True, return_counts=True)
+        for i in at + np.flatnonzero(klass != sizes.argmax()):  # no pair is of the largest class alone
+            hit = np.flatnonzero((r[own] != r[i]) & _near(w[own], w[i], m[own], m[i]))
+            left.append(node[at + hit])
+            right.append(np.full(len(hit), node[i]))
+    yield _met(left, right)
+
+
+def dealt_once(visits: DataFrame, hot: int, scratch: Scratch, of: str = "node") -> DataFrame:
+    """visits (key, ...) with the keys of more than ``hot`` visitors dealt to blocks, each of which also gets the key's least visitor; their rows stay in proportion."""
+    counted = visits.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("least"))
+    many = scratch.keep(counted.where(F.col("n") > hot), "hot")
+    if many.isEmpty():
+        return visits
+    blocks = F.ceil(F.col("n") / hot).cast("int")
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64("key", b))
+    own = F.array(F.xxhash64("key", F.pmod(F.xxhash64(of), blocks).cast("int")))
+    keys = F.when(F.col("n").isNull(), F.array("key")).when(F.col(of) == F.col("least"), every).otherwise(own)
+    joined = visits.join(F.broadcast(many), "key", "left")  # fewer rows than visits / hot
+    return joined.select(F.explode(keys).alias("key"), *[c for c in visits.columns if c != "key"])
+
 
+def dealt_by_root(visits: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
+    """visits (key, node, root, ...) with the keys of more than ``hot`` visitors split, so that every two of different roots meet.
 
-def own_values(nodes: DataFrame, number: str, segs: Segments) -> DataFrame:
-    """(key, n): how many nodes have each value in each segment of a number."""
-    keys = [F.shiftrightunsigned(number, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(k << 32) for k, (shift, bits, _) in enumerate(segs)]
-    return nodes.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    Only those outside a key's largest class are repeated, for each block of that class and of their own.
+    """
+    counted = visits.groupBy("key", "root").agg(F.count(F.lit(1)).alias("t")).groupBy("key").agg(F.sum("t").alias("n"), F.max(F.struct("t", F.col("root").alias("top"))).alias("most"))
+    many = scratch.keep(counted.where(F.col("n") > hot).select("key", "n", "most.t", "most.top"), "hot")
+    if many.isEmpty():
+        return visits
+    tops, others = F.ceil(F.col("t") / hot).cast("int"), F.ceil((F.col("n") - F.col("t")) / hot).cast("int")
+    place = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), blocks - 1)
+    with_others = F.transform(upto(others), lambda b: F.xxhash64("key", F.lit(-1), b, place(tops)))
+    with_tops = F.transform(upto(tops), lambda b: F.xxhash64("key", F.lit(-1), place(others), b))
+    with_own = F.transform(upto(others), lambda b: F.xxhash64("key", F.least(place(others), b), F.greatest(place(others), b)))
+    keys = F.when(F.col("n").isNull(), F.array("key")).when(F.col("root") == F.col("top"), with_others).otherwise(F.concat(with_tops, with_own))
+    # a key of one class has nothing left to connect
+    joined = visits.join(F.broadcast(many), "key", "left").where("n is null or n > t")
+    return joined.select(F.explode(keys).alias("key"), *[c for c in visits.columns if c != "key"])
 
 
 def salted_join(pairs: DataFrame, facts: DataFrame, key: str, other: str, parts: int = 1024, least: int = 200, salts: int = 8) -> DataFrame:
@@ -399,33 +499,45 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Of a written table docs (row, id, text): nodes (node, first: the least (id is null, id, row) that has this set of shingles) and links (u, v), u > v.
 
-    Linked nodes have Jaccard 0.8 or more, compared in full. Pairs are candidates if a segment
-    of one of their fingerprints' numbers differs in two bits at most and the next number in REACH
-    at most. Each number's tables are a pass of their own, so that no more than one pass is on disk.
-    Candidates with the least node of a meeting are compared first, then those that are not
-    connected by then: the links connect what all pairs connect, without being all pairs.
+    Linked nodes have Jaccard 0.8 or more, compared in full, and the links connect what all such
+    pairs connect, without being all pairs. First come the links of SimHash at DISTANCE and, of
+    those that meet under a shingle of their prefixes, enough to connect them; then all pairs that
+    meet and are not connected by then. Bitmaps rule out only pairs that cannot be similar, so no
+    size of the table and no order of the shingles changes what is connected.
     """
-    marked = scratch.keep(docs.select("row", F.col("text").cast("string").alias("text")).mapInArrow(_wide, "row bigint, node bigint, " + ", ".join(f"{w} bigint" for w in NUMBERS)), "marked")
-    ids = docs.select("row", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("first"))
-    each = scratch.keep(marked.join(ids, "row").groupBy("node").agg(F.min("first").alias("first"), *[F.min(w).alias(w) for w in NUMBERS]), "nodes")
+    kind = docs.schema["id"].dataType.simpleString()
+    numbers = ", ".join(f"{c} bigint" for c in ("node", "fp", "size", *BITS))
+    texts = docs.select("row", "id", F.col("text").cast("string").alias("text"))
+    marked = scratch.keep(texts.mapInArrow(_marks(*frequent_shingles(docs)), f"row bigint, id {kind}, {numbers}, keys array<bigint>"), "marked")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    nodes = scratch.keep(marked.groupBy("node").agg(first, F.min("fp").alias("fp")), "nodes")
+    later = scratch.keep(marked.select("row").join(nodes.select("first.row"), "row", "left_anti"), "later")
+    each = marked.join(later, "row", "left_anti")  # one row a node
+
+    # SimHash: links between fingerprints become links between the least nodes that have them
+    prints = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    visits = scratch.keep(prints.select("fp").mapInArrow(_visits(segments(prints.count(), DISTANCE)), "key bigint, fp bigint"), "visits")
+    near = scratch.keep(by_key(dealt_once(visits, hot, scratch, "fp")).mapInArrow(_meetings(DISTANCE), PAIRS).distinct(), "near")
+    scratch.drop(visits)
+    of = lambda end: prints.select(F.col("fp").alias(end), F.col("least").alias(f"n{end}"))
+    hashed = near.join(of("u"), "u").join(of("v"), "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
+    equal = join_facts(nodes.select("node", "fp"), prints, "fp").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+    # the prefixes: of each node the keys that it shares
+    shared = by_key(each.select(F.explode("keys").alias("key"), "node")).mapInArrow(whole_keys(_several), "key bigint, node bigint")
+    keys = scratch.keep(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
+    shared = scratch.keep(keys.join(each.select("node", "size", *BITS), "node"), "shared")
+    scratch.drop(keys)
     scratch.drop(marked)
-    segs = tuple((a, b, 2) for a, b in cuts(each.count()))
-    passes = []
-    for k, w in enumerate(NUMBERS):
-        nodes = each.select("node", F.col(w).alias("a"), F.col(NUMBERS[(k + 1) % WORDS]).alias("b"))
-        visits = nodes.mapInArrow(_wide_visits(segs), VISITS)
-        # a meeting of more than ``hot`` visitors has a value near it that many nodes have themselves
-        if not own_values(nodes, "a", segs).where(F.col("n") * (1 + max(b for _, b, _ in segs)) > hot).isEmpty():
-            visits = split_hot(visits, hot, scratch, "node")
-        passes.append(scratch.keep(by_key(visits).mapInArrow(whole_keys(_first_round), MET), "met"))
-    met = reduce(DataFrame.unionByName, passes)
+    key = F.explode("keys").alias("key")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs.select("u", "v").distinct(), "pairs")
-        nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        wanted = scratch.keep(each.join(nodes, "node").select("node", F.col("first.row").alias("row")), "wanted")
-        texts = docs.join(wanted, "row").select("node", F.col("text").cast("string").alias("text"))
-        sets = scratch.keep(texts.mapInArrow(_sets, "node bigint, s array<bigint>"), "sets")
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        wanted = scratch.keep(nodes.join(ends, "node").select("node", F.col("first.row").alias("row")), "wanted")
+        # texts of no slot of a wanted row stay out of the join
+        slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int").alias("slot")
+        some = docs.select("row", F.col("text").cast("string").alias("text"), slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+        sets = scratch.keep(some.join(wanted, "row").select("node", "text").mapInArrow(_sets, "node bigint, s array<bigint>"), "sets")
         left = scratch.keep(salted_join(pairs, sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u", "v"), "half")
         both = salted_join(left, sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v", "u")
         links = scratch.keep(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("u", "v"), "links")
@@ -433,26 +545,24 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
             scratch.drop(done)
         return links
 
-    links = verified(met.where("key is null and a = 1"))
-    roots = scratch.keep(components(links, scratch), "roots")
+    met = by_key(dealt_once(shared.select(key, "node", "size", *BITS), hot, scratch)).mapInArrow(whole_keys(_first_round), PAIRS)
+    pairs = scratch.keep(hashed.unionByName(equal).unionByName(met).distinct(), "pairs")
+    links = verified(pairs)
     # only what is not yet connected is looked at again
-    rest = met.where("key is null and a = 0").select("u", "v").distinct()
-    for end in "uv":
-        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    more = rest.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    # keys of different passes may be equal; that only means a check in vain
-    large = met.where("key is not null").select("key", F.col("u").alias("node"), "a").join(roots, "node", "left").select("key", "node", "a", F.coalesce("root", "node").alias("root"))
-    more = more.unionByName(by_key(large).mapInArrow(whole_keys(_second_round), MET).select("u", "v"))
-    links = links.unionByName(verified(more))
-    return each.select("node", "first"), links
+    roots = scratch.keep(components(links, scratch), "roots")
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = by_key(dealt_by_root(rooted.select(key, "node", "size", "root", *BITS), hot, scratch)).mapInArrow(whole_keys(_second_round), PAIRS).distinct()
+    more = scratch.keep(more.join(pairs, ["u", "v"], "left_anti"), "more")
+    if not more.isEmpty():
+        links = links.unionByName(verified(more))
+    return nodes.select("node", "first"), links
 
 
 def one_of_each_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs with one row of each component of similar texts: that with the smallest id.
 
     Texts are similar if their sets of five-word shingles (words and case as in
-    ``simhash_groups``) have Jaccard 0.8 or more; candidates come from 256-bit SimHash
-    fingerprints (``similar_links``), so a pair just above 0.8 can be missed.
+    ``simhash_groups``) have Jaccard 0.8 or more; no such pair is missed (``similar_links``).
 
     Columns and texts are those of docs. Texts of fewer than five words are one shingle. Null,
     empty and all-space texts have no shingles and are one component. Texts of any length are
