@@ -113,6 +113,15 @@ def test_no_similar_pair_is_lost_whatever_the_size(spark, monkeypatch, halves, l
     assert got == want and sum(len(g) > 1 for g in want) > 60
 
 
+def test_candidates_of_a_large_family_stay_in_proportion(spark, monkeypatch):
+    compared, join = [], simhash.salted_join
+    monkeypatch.setattr(simhash, "salted_join", lambda pairs, *a, **k: (compared.append((a[1:], pairs.count())), join(pairs, *a, **k))[1])
+    texts = family(random.Random(3), 900)
+    got, want = kept_components(spark, texts)
+    assert got == want
+    assert sum(n for ends, n in compared if ends == ("u", "v")) <= 8 * len(set(texts))
+
+
 def test_segments_cover_the_distance():
     for n in (1, 10**6, 2**21, 2**22, 10**10):
         for distance in (2, 3, 4, 5):

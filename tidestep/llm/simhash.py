@@ -43,9 +43,9 @@ HOT = 50_000
 OUT = ("fingerprint", "component_id")
 ROW = f"{HIDDEN}row"
 
-#: Of the verified search: words of a shingle, words of 64 bits in a parity bitmap, and the
-#: members of a meeting from which its pairs are looked at by member.
-WIDTH, BITMAP, LARGE = 5, 8, 64
+#: Of the verified search: words of a shingle, words of 64 bits in the short and in the longest
+#: parity bitmap, and the members of a meeting from which its pairs are looked at by member.
+WIDTH, BITMAP, LONGEST, LARGE = 5, 8, 1024, 64
 #: Documents whose shingles are counted, from how many of these a shingle is frequent, and how many
 #: frequent shingles come last in the order. Any order gives the same links.
 SAMPLED, OFTEN, MOST_FREQUENT = 4096, 4, 50_000
@@ -143,11 +143,19 @@ def wide_fingerprint(shingles: np.ndarray, numbers: int = 4) -> list[int]:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """BITMAP words whose bits tell whether an odd number of a set's shingles falls on them."""
-    odd = np.bincount((shingles % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    """Words whose bits tell whether an odd number of a set's shingles falls on them; about as many bits as shingles."""
+    words = BITMAP
+    while words < LONGEST and 64 * words < len(shingles):
+        words *= 2
+    odd = np.bincount((shingles % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap as it is with n words."""
+    return np.bitwise_xor.reduce(words.reshape(-1, n), axis=0)
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set, of which two sets of Jaccard 0.8 or more have one in common.
 
@@ -319,20 +327,21 @@ PAIRS = "u bigint, v bigint"
 
 
 def _marks(frequent: np.ndarray, rank: np.ndarray):
-    """(row, id, text) to (row, id, node, fp, size, b0, ..., keys): the hash of the set of shingles, its fingerprint, size, bitmap and prefix."""
+    """(row, id, text) to (row, id, node, fp, size, b0, ..., map, keys): the hash of the set of shingles, its fingerprint, size, short and long bitmap and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, keys = [], []
+            out, maps, keys = [], [], []
             for t in batch.column(2).cast(pa.binary()):
                 s = shingle_set(t.as_py() or b"")
-                out.append((xxhash.xxh64_intdigest(s.tobytes()), *wide_fingerprint(s, 1), len(s), *bitmap(s).tolist()))
+                out.append((xxhash.xxh64_intdigest(s.tobytes()), *wide_fingerprint(s, 1), len(s), *folded(bitmap(s), BITMAP).tolist()))
+                maps.append(bitmap(s).tobytes())
                 keys.append(prefix(s, frequent, rank).view(np.int64))
             columns = np.array(out, np.uint64).reshape(-1, 3 + BITMAP).view(np.int64)
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             numbers = [pa.array(np.ascontiguousarray(columns[:, k])) for k in range(3 + BITMAP)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, lists], names=["row", "id", "node", "fp", "size", *BITS, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(maps, pa.binary()), lists], names=["row", "id", "node", "fp", "size", *BITS, "map", "keys"])
 
     return run
 
@@ -484,6 +493,24 @@ def salted_join(pairs: DataFrame, facts: DataFrame, key: str, other: str, parts:
     return light.unionByName(hot.join(hot_facts, [key, "salt"]).drop("salt"))
 
 
+def both_ends(pairs: DataFrame, facts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """A written table on the way, and pairs (u, v) with the facts (node, ...) of u and, with a 2 in their names, of v."""
+    half = scratch.keep(salted_join(pairs, facts.withColumnRenamed("node", "u"), "u", "v"), "half")
+    second = facts.select(F.col("node").alias("v"), *[F.col(c).alias(f"{c}2") for c in facts.columns if c != "node"])
+    return half, salted_join(half, second, "v", "u")
+
+
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (u, v, size, map, size2, map2) the pairs that their long bitmaps don't rule out."""
+    for batch in batches:
+        hit = []
+        for m, x, n, y in zip(*(batch.column(c).to_pylist() for c in ("size", "map", "size2", "map2")), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words = min(len(x), len(y))
+            hit.append(bool(_near(folded(x, words), folded(y, words), m, n)))
+        yield batch.select(["u", "v"]).filter(pa.array(hit, pa.bool_()))
+
+
 def similar(a: Column, b: Column, overlap: Column) -> Column:
     """Whether sets of sizes a and b with this overlap have Jaccard 0.8 or more."""
     return 9 * overlap >= 4 * (a + b)
@@ -508,7 +535,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
     kind = docs.schema["id"].dataType.simpleString()
     numbers = ", ".join(f"{c} bigint" for c in ("node", "fp", "size", *BITS))
     texts = docs.select("row", "id", F.col("text").cast("string").alias("text"))
-    marked = scratch.keep(texts.mapInArrow(_marks(*frequent_shingles(docs)), f"row bigint, id {kind}, {numbers}, keys array<bigint>"), "marked")
+    marked = scratch.keep(texts.mapInArrow(_marks(*frequent_shingles(docs)), f"row bigint, id {kind}, {numbers}, map binary, keys array<bigint>"), "marked")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     nodes = scratch.keep(marked.groupBy("node").agg(first, F.min("fp").alias("fp")), "nodes")
     later = scratch.keep(marked.select("row").join(nodes.select("first.row"), "row", "left_anti"), "later")
@@ -523,6 +550,7 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
     hashed = near.join(of("u"), "u").join(of("v"), "v").select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
     equal = join_facts(nodes.select("node", "fp"), prints, "fp").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
 
+    maps = scratch.keep(each.select("node", "size", "map"), "maps")
     # the prefixes: of each node the keys that it shares
     shared = by_key(each.select(F.explode("keys").alias("key"), "node")).mapInArrow(whole_keys(_several), "key bigint, node bigint")
     keys = scratch.keep(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
@@ -532,16 +560,18 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
     key = F.explode("keys").alias("key")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        half, both = both_ends(pairs, maps, scratch)
+        near = scratch.keep(both.mapInArrow(_may_be_similar, PAIRS), "near")
+        scratch.drop(half)
+        ends = near.select(F.col("u").alias("node")).unionByName(near.select(F.col("v").alias("node"))).distinct()
         wanted = scratch.keep(nodes.join(ends, "node").select("node", F.col("first.row").alias("row")), "wanted")
         # texts of no slot of a wanted row stay out of the join
         slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int").alias("slot")
         some = docs.select("row", F.col("text").cast("string").alias("text"), slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
         sets = scratch.keep(some.join(wanted, "row").select("node", "text").mapInArrow(_sets, "node bigint, s array<bigint>"), "sets")
-        left = scratch.keep(salted_join(pairs, sets.select(F.col("node").alias("u"), F.col("s").alias("x")), "u", "v"), "half")
-        both = salted_join(left, sets.select(F.col("node").alias("v"), F.col("s").alias("y")), "v", "u")
-        links = scratch.keep(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("u", "v"), "links")
-        for done in (left, sets, wanted):
+        half, both = both_ends(near, sets, scratch)
+        links = scratch.keep(both.where(similar(F.size("s"), F.size("s2"), F.size(F.array_intersect("s", "s2")))).select("u", "v"), "links")
+        for done in (half, sets, wanted, near):
             scratch.drop(done)
         return links
 
