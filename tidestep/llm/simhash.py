@@ -45,10 +45,10 @@ ROW = f"{HIDDEN}row"
 
 #: Of the verified search: words of a shingle, words of 64 bits in the short and in the longest
 #: parity bitmap, and the members of a meeting from which its pairs are looked at by member.
-WIDTH, BITMAP, LONGEST, LARGE = 5, 8, 1024, 64
+WIDTH, BITMAP, LONGEST, LARGE = 5, 16, 1024, 64
 #: Documents whose shingles are counted, from how many of these a shingle is frequent, and how many
 #: frequent shingles come last in the order. Any order gives the same links.
-SAMPLED, OFTEN, MOST_FREQUENT = 4096, 4, 50_000
+SAMPLED, OFTEN, MOST_FREQUENT = 16_384, 4, 100_000
 #: Slots by which texts are left out before a join; they bound what is broadcast.
 SLOTS = 1 << 22
 #: Words whose hashes a worker remembers.
@@ -357,11 +357,11 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found[by], -by
 
 
-def _several(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _several(key: np.ndarray, node: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rows whose key is not alone."""
     same = key[1:] == key[:-1]
     hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit])], names=["key", "node"])
+    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(node[hit]), pa.array(place[hit])], names=["key", "node", "place"])
 
 
 def _near(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -370,6 +370,14 @@ def _near(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndar
     return fit & (9 * np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64) <= m + n)
 
 
+def _in_reach(i: np.ndarray, j: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes m and n may be similar if the shingle at places i and j is the first that they share.
+
+    At the first one that similar sets share this holds, so they are found there.
+    """
+    return 9 * np.minimum(m - i, n - j) >= 4 * (m + n)
+
+
 def _met(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
     both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
@@ -395,9 +403,9 @@ def _steps(key: np.ndarray, most: int, left: list[np.ndarray], right: list[np.nd
         right.append(node[same])
 
 
-def _first_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _first_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of each meeting that may be similar: with its least node, and of those left over with one another; in large ones only until each is found once."""
-    key, node, (m, *words), cut, count = _grouped(key, node, (size, *bits))
+    key, node, (m, p, *words), cut, count = _grouped(key, node, (size, place, *bits))
     w = np.stack(words, axis=1)
     least = np.repeat(cut, count)
     hit = _near(w, w[least], m, m[least])
@@ -405,7 +413,7 @@ def _first_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, *bits: np.
     rest = np.flatnonzero(~hit)
     large = np.repeat(count, count)[rest] > LARGE
     few = rest[~large]
-    _steps(key[few], LARGE, left, right, node[few], lambda i, j: _near(w[few[i]], w[few[j]], m[few[i]], m[few[j]]))
+    _steps(key[few], LARGE, left, right, node[few], lambda i, j: _in_reach(p[few[i]], p[few[j]], m[few[i]], m[few[j]]) & _near(w[few[i]], w[few[j]], m[few[i]], m[few[j]]))
     many = rest[large]
     for todo in np.split(many, np.flatnonzero(key[many][1:] != key[many][:-1]) + 1) if len(many) else ():
         queue: list[int] = []
@@ -423,22 +431,22 @@ def _first_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, *bits: np.
     yield _met(left, right)
 
 
-def _second_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _second_round(key: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, *bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All pairs of each meeting that may be similar and are not connected yet."""
-    key, node, (m, r, *words), cut, count = _grouped(key, node, (size, root, *bits))
+    key, node, (m, p, r, *words), cut, count = _grouped(key, node, (size, place, root, *bits))
     w = np.stack(words, axis=1)
     mixed = np.repeat(np.logical_or.reduceat(r != np.repeat(r[cut], count), cut), count) if len(key) else np.zeros(0, bool)
     large = np.repeat(count, count) > LARGE
     few = np.flatnonzero(mixed & ~large)
     left, right = [], []
-    _steps(key[few], LARGE, left, right, node[few], lambda i, j: (r[few[i]] != r[few[j]]) & _near(w[few[i]], w[few[j]], m[few[i]], m[few[j]]))
+    _steps(key[few], LARGE, left, right, node[few], lambda i, j: (r[few[i]] != r[few[j]]) & _in_reach(p[few[i]], p[few[j]], m[few[i]], m[few[j]]) & _near(w[few[i]], w[few[j]], m[few[i]], m[few[j]]))
     for at, n in zip(cut, count, strict=True):
         if n <= LARGE or not mixed[at]:
             continue
         own = slice(at, at + n)
         names, klass, sizes = np.unique(r[own], return_inverse=True, return_counts=True)
         for i in at + np.flatnonzero(klass != sizes.argmax()):  # no pair is of the largest class alone
-            hit = np.flatnonzero((r[own] != r[i]) & _near(w[own], w[i], m[own], m[i]))
+            hit = np.flatnonzero((r[own] != r[i]) & _in_reach(p[own], p[i], m[own], m[i]) & _near(w[own], w[i], m[own], m[i]))
             left.append(node[at + hit])
             right.append(np.full(len(hit), node[i]))
     yield _met(left, right)
@@ -552,12 +560,14 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
 
     maps = scratch.keep(each.select("node", "size", "map"), "maps")
     # the prefixes: of each node the keys that it shares
-    shared = by_key(each.select(F.explode("keys").alias("key"), "node")).mapInArrow(whole_keys(_several), "key bigint, node bigint")
-    keys = scratch.keep(shared.groupBy("node").agg(F.collect_list("key").alias("keys")), "keys")
+    shared = by_key(each.select(F.posexplode("keys").alias("place", "key"), "node").select("key", "node", F.col("place").cast("bigint"))).mapInArrow(whole_keys(_several), "key bigint, node bigint, place bigint")
+    keys = scratch.keep(shared.groupBy("node").agg(F.collect_list(F.struct("key", "place")).alias("keys")), "keys")
     shared = scratch.keep(keys.join(each.select("node", "size", *BITS), "node"), "shared")
     scratch.drop(keys)
     scratch.drop(marked)
-    key = F.explode("keys").alias("key")
+
+    def meeting(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(F.explode("keys").alias("k"), "node", "size", *more, *BITS).select("k.key", "node", "size", "k.place", *more, *BITS)
 
     def verified(pairs: DataFrame) -> DataFrame:
         half, both = both_ends(pairs, maps, scratch)
@@ -575,13 +585,13 @@ def similar_links(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[Da
             scratch.drop(done)
         return links
 
-    met = by_key(dealt_once(shared.select(key, "node", "size", *BITS), hot, scratch)).mapInArrow(whole_keys(_first_round), PAIRS)
+    met = by_key(dealt_once(meeting(shared), hot, scratch)).mapInArrow(whole_keys(_first_round), PAIRS)
     pairs = scratch.keep(hashed.unionByName(equal).unionByName(met).distinct(), "pairs")
     links = verified(pairs)
     # only what is not yet connected is looked at again
     roots = scratch.keep(components(links, scratch), "roots")
     rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = by_key(dealt_by_root(rooted.select(key, "node", "size", "root", *BITS), hot, scratch)).mapInArrow(whole_keys(_second_round), PAIRS).distinct()
+    more = by_key(dealt_by_root(meeting(rooted, "root"), hot, scratch)).mapInArrow(whole_keys(_second_round), PAIRS).distinct()
     more = scratch.keep(more.join(pairs, ["u", "v"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.unionByName(verified(more))
