@@ -1,12 +1,14 @@
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from llm.test_mix_pack import brute_targets, check_sequences
 from llm.test_similar import brute, components, shingles
 from llm.util import data, odd_documents, there
+from tidestep.llm.common import BATCH, BATCH_BYTES, tidy
 from tidestep.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,3 +74,24 @@ def test_stages_stand_odd_rows(spark, tmp_path):
             if name != "packing":
                 assert rows.columns == docs.columns
         assert (rows.count() > 0) == (empty is docs)
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_send_texts_to_python_in_small_batches(spark, tmp_path, name, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "rows"])
+
+    docs = odd_documents(spark).selectExpr("doc_id", "text", "'en' as lang", "source", "n_chars").limit(0)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 1000) as text")
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        stage(spark, docs, str(tmp_path))
+        got = long.mapInArrow(sizes, "size bigint, rows bigint").collect()
+        assert sum(r.rows for r in got) == 3000 and max(r.size for r in got) <= 1.1 * BATCH
+        spark.conf.set(BATCH_BYTES, "1m")
+        tidy(spark)
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)

@@ -42,11 +42,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 #: Removes the shuffle files of a query when it has ended, without waiting for the driver's garbage collector.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the batches in which rows go to Python; a longer row is a batch of its own.
+#: Executor and worker hold a batch several times over, and keep the room when it is done.
+BATCH, BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def tidy(spark: SparkSession) -> None:
-    """From now on the session's queries remove their shuffle files as they end."""
+    """From now on the session's queries remove their shuffle files as they end, and send Python no more than about BATCH bytes at once."""
     spark.conf.set(CLEANUP, "true")
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES)) > BATCH:  # a smaller limit stays
+        spark.conf.set(BATCH_BYTES, f"{BATCH}b")
 
 
 class Scratch:
