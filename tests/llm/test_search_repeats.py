@@ -4,11 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from llm.util import odd_documents
-from tidestep.llm import topk, transducer
+from tidestep.llm import repeats, topk, transducer
 from tidestep.llm.repeats import remove_repeats
 from tidestep.llm.suffixes import shares, suffix_array
 from tidestep.llm.token_counts import count_tokens
@@ -141,6 +143,68 @@ def test_suffix_array():
     assert shares(np.frombuffer(b"abcabd", np.uint8), np.array([0]), np.array([3]), 2).tolist() == [True]
 
 
+def test_suffixes_are_sorted_only_where_windows_need_it():
+    rng = random.Random(6)
+    for k in range(300):
+        depth = rng.choice([1, 2, 5, 9, 17, 50])
+        letters = rng.choice([b"ab", b"a", b"\0a\0b", b"abcdef"])
+        strings = [bytes(rng.choice(letters) for _ in range(depth + rng.randint(0, 20))) for _ in range(rng.randint(1, 8))]
+        strings += [s[: rng.randint(depth, len(s))] for s in strings]
+        buf, length = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+        heads, begin = length - depth + 1, np.cumsum(length) - length
+        sa = suffix_array(buf, length, heads, depth)
+        assert len(set(sa.tolist())) == len(sa)
+        windows = {int(b) + j for b, h in zip(begin, heads, strict=True) for j in range(h)}
+        got = [p for p in sa.tolist() if p in windows]
+        assert set(got) == windows
+        words = [buf[p : p + depth].tobytes() for p in got]
+        assert words == sorted(words)
+        if len(set(letters)) > 2 and depth == 50 and k % 2:
+            assert len(sa) < 0.6 * len(buf)
+
+
+@pytest.mark.parametrize("length", [17, 50, 100])
+def test_blocks_hold_their_anchors(length):
+    rng = random.Random(length)
+    for _ in range(8):
+        held = [(repeats.NONE if rng.random() < 0.1 else rng.randint(0, 5), bytes(rng.choice(b"ab c") for _ in range(rng.choice([0, 3, length, length + 1, 250])))) for _ in range(rng.randint(1, 9))]
+        x = repeats.Block(*repeats.pack_block(held, length), length)
+        h = repeats.gram_hashes(x.buf) if len(x.buf) >= repeats.GRAM else []
+        begin, want = 0, []
+        for i, t in held:
+            before = None
+            for w in range(begin, begin + len(t) - length + 1 if i != repeats.NONE else 0):
+                at = min(range(w, w + length - repeats.GRAM + 1), key=lambda j: (int(h[j]) >> 19, j))  # noqa: B023
+                if at == before:
+                    want[-1][2] += 1
+                else:
+                    want.append([at, w, 1, i])
+                before = at
+            begin += len(t)
+        assert [list(map(int, r)) for r in zip(x.anchor, x.first, x.count, x.doc, strict=True)] == want
+        for r, a, n in zip(x.contexts(np.arange(len(want)), length), x.first, x.count, strict=True):
+            assert r[2:].tobytes() == x.text[a : a + int(n) + length - 1].ljust(2 * length, b"\0")
+
+
+def test_repeats_some_rows_at_once(monkeypatch):
+    monkeypatch.setattr(repeats, "ROWS", 7)
+    monkeypatch.setattr(repeats, "GRAMS", 64)
+    rng = random.Random(2)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(4)]
+    rows = [(k, "".join(rng.choice(passages)[: rng.randint(0, 200)] + rng.choice("xyz") for _ in range(rng.randint(0, 5)))) for k in range(40)]
+    length, parts, shares_of = 50, 5, (0, 13, 14, 40)
+    packed = [repeats.pack_block([(i, t.encode()) for i, t in rows[a:z]], length) for a, z in zip(shares_of, shares_of[1:], strict=False)]
+    blocks = pa.Table.from_batches([repeats._batch(repeats.BLOCKS, [(k, *p) for k, p in enumerate(packed)])])
+    by = lambda t, c, n, f: pa.concat_tables([f(t.filter(pc.equal(t[c], k))) for k in range(n) if pc.any(pc.equal(t[c], k)).as_py()])
+    told = pa.Table.from_batches(list(repeats._anchors(parts, length)(iter(blocks.to_batches()))))
+    repeated = by(told, "part", parts, repeats._repeated)
+    contexts = by(blocks, "block", 3, lambda b: repeats._contexts(parts, length)(b, repeated.filter(pc.equal(repeated["block"], b["block"][0]))))
+    marks = by(contexts, "part", parts, repeats._resolve(length))
+    out = by(blocks, "block", 3, lambda b: repeats._cut(length, "doc_id", True)(b, marks.filter(pc.equal(marks["block"], b["block"][0]))))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["kept"]) for r in out.to_pylist())
+    assert got == brute_repeats(rows) and any(r[2] for r in got)
+
+
 def brute_repeats(rows, length=50):
     starts = {}
     for d, t in rows:

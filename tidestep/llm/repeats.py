@@ -7,17 +7,20 @@ what can be equal is brought together first, by anchors: of the GRAM-byte grams
 at equal places, and neighbouring windows share theirs: about one position in eighteen is an
 anchor.
 
-1. Documents are packed into blocks, written once.
+1. Documents are packed into blocks, written once with the places of their anchors (two bytes each).
 2. Each block tells each part of the hash space which anchor hashes it has (four bytes each);
    the part answers with a bit for each that occurs in more than one document.
 3. For those anchors, a block sends the context (all windows that the anchor stands for, at
    most 2 * length bytes) with the least and greatest id that has it, once however often it occurs.
 4. A part sorts the suffixes of all its distinct contexts by the two-stage method
-   (suffixes.py); neighbours in that order with a common prefix of ``length`` bytes are equal
-   windows, whose least id is what counts.
+   (suffixes.py), as far as ``length`` bytes and only those that windows need; neighbours in that
+   order with a common prefix of ``length`` bytes are equal windows, whose least id is what counts.
 5. The block gets back, for each context, the runs of windows and the least id, marks the
    bytes of documents with a greater id, and cuts them.
 
+Messages go from each block to each part and back; with their number, which grows with the square
+of the text, only their fixed cost grows, so blocks are large and a message costs little.
+
 No decision is made on hashes: windows are equal if the sorted order's common prefixes say so.
 """
 
@@ -37,26 +40,31 @@ from tidestep.llm.suffixes import shares, suffix_array
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 24
 PART_BYTES = 1 << 22
+#: Grams hashed at once, so that the arrays stay in the cache, and context rows compared at once.
+GRAMS, ROWS = 1 << 15, 1 << 17
 #: Bytes of text for each task at most.
 TASK_BYTES = 1 << 26
 OUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 NONE = np.iinfo(np.int64).min  # the id of a document without id
 
-BLOCKS = "block bigint, ids binary, sizes binary, text binary"
+BLOCKS = "block bigint, ids binary, sizes binary, anchors binary, text binary"
 ANCHORS = "part bigint, block bigint, hashes binary, twice binary"
 REPEATED = "block bigint, part bigint, bits binary"
 CONTEXTS = "part bigint, block bigint, n bigint, body binary"
 MARKS = "block bigint, n bigint, body binary"
 
 
+_zip, _unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return _zip.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _arrays(body: bytes, *kinds: tuple[str, int]) -> list[np.ndarray]:
-    raw, out, at = zstandard.ZstdDecompressor().decompress(body), [], 0
+    raw, out, at = _unzip.decompress(body), [], 0
     for kind, n in kinds:
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
@@ -70,15 +78,20 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _pack(most: int):
+def pack_block(held: list[tuple[int, bytes]], length: int) -> tuple[bytes, bytes, bytes, bytes]:
+    """ids, sizes, anchors and text of a block of documents."""
+    ids, sizes = np.array([i for i, _ in held], "<i8"), np.array([len(t) for _, t in held], "<i8")
+    text = b"".join(t for _, t in held)
+    return ids.tobytes(), sizes.tobytes(), _squeeze(*find_anchors(ids, sizes, text, length)), _zip.compress(text)
+
+
+def _pack(most: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
         size = number = part = 0
 
         def out() -> pa.RecordBatch:
-            ids, sizes = np.array([i for i, _ in held], "<i8"), np.array([len(t) for _, t in held], "<i8")
-            text = zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in held))
-            return _batch(BLOCKS, [((part << 32) + number, ids.tobytes(), sizes.tobytes(), text)])
+            return _batch(BLOCKS, [((part << 32) + number, *pack_block(held, length))])
 
         for b in batches:
             texts = b.column(2).cast(pa.binary())
@@ -109,48 +122,89 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return h
 
 
-class Block:
-    """A block's documents and anchors: for each anchor its hash, document id, first window and number of windows."""
+def _spans(ids: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each document begins and how many windows it has."""
+    return np.cumsum(sizes) - sizes, np.where(ids == NONE, 0, np.maximum(sizes - length + 1, 0))
 
-    def __init__(self, ids: bytes, sizes: bytes, text: bytes, length: int):
-        self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
-        self.text = zstandard.ZstdDecompressor().decompress(text)
-        self.buf = buf = np.frombuffer(self.text, np.uint8)
-        self.ends = np.cumsum(self.sizes)
-        self.hash, self.first, self.count, self.doc, self.anchor = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
-        if len(buf) < length:
-            return
-        hashes = gram_hashes(buf)
-        least = ((hashes >> np.uint64(32)) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
-        grams, width = length - GRAM + 1, 1
+
+def find_anchors(ids: np.ndarray, sizes: np.ndarray, text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor in turn, the number of windows that it stands for and its distance from the first of them."""
+    buf, grams = np.frombuffer(text, np.uint8), length - GRAM + 1
+    if len(buf) < length:
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    ahead = np.zeros(len(buf) - length + 1, np.uint8)
+    for k in range(0, len(ahead), GRAMS):
+        h = gram_hashes(buf[k : k + GRAMS + length - 1])
+        # the place in the low bits; between 2 ** 61 and 2 ** 62 the order is that of the same bits as floats, for which minima are fast
+        least = ((h >> np.uint64(19) << np.uint64(16)) | np.arange(1 << 61, (1 << 61) + len(h), dtype=np.uint64)).view(np.float64)
+        width = 1
         while width < grams:
             step = min(width, grams - width)
             least = np.minimum(least[: len(least) - step], least[step:])
             width += step
-        doc = np.repeat(np.arange(len(self.ids)), self.sizes)[: len(least)]
-        inside = (np.arange(len(least)) + length <= self.ends[doc]) & (self.ids[doc] != NONE)
-        window = np.flatnonzero(inside)
-        if not len(window):
-            return
-        at = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1))))
-        self.first, self.anchor = window[new], at[new]
-        self.count = np.diff(np.concatenate((new, [len(window)])))
-        self.hash, self.doc = hashes[self.anchor], self.ids[doc[window[new]]]
-
-    def contexts(self, some: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fixed-width rows of the contexts of some anchors (two lengths, then the bytes), and which are equal."""
+        place = (least.view(np.uint64) & np.uint64(0xFFFF)).astype(np.int32)
+        ahead[k : k + GRAMS] = place - np.arange(len(place), dtype=np.int32)
+    begin, windows = _spans(ids, sizes, length)
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[begin[windows > 0]] = 1
+    edge[(begin + windows)[windows > 0]] = -1
+    inside = np.cumsum(edge[: len(ahead)], dtype=np.int8).astype(bool)
+    # neighbours in one document whose anchor is the same are one run; between documents there are no windows
+    on = np.zeros(len(ahead) + 1, bool)
+    on[1:-1] = inside[1:] & inside[:-1] & (ahead[1:] + np.uint8(1) == ahead[:-1])
+    first, last = np.flatnonzero(inside & ~on[:-1]), np.flatnonzero(inside & ~on[1:])
+    return (last - first + 1).astype(np.uint8), ahead[first]
+
+
+class Block:
+    """A block's documents and anchors: for each anchor its hash, document id, first window and number of windows."""
+
+    def __init__(self, ids: bytes, sizes: bytes, anchors: bytes, text: bytes, length: int):
+        self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
+        self.text = _unzip.decompress(text)
+        self.buf = np.frombuffer(self.text, np.uint8)
+        self.ends = np.cumsum(self.sizes)
+        self.count, ahead = np.frombuffer(_unzip.decompress(anchors), np.uint8).reshape(2, -1)
+        begin, windows = _spans(self.ids, self.sizes, length)
+        before = np.cumsum(windows)
+        window = np.cumsum(self.count, dtype=np.int64) - self.count
+        doc = np.searchsorted(before, window, side="right")
+        self.doc = self.ids[doc]
+        self.first = window + (begin - before + windows)[doc]
+        self.anchor = self.first + ahead
+        self.hash = self._hash() if len(self.first) else np.zeros(0, np.uint64)
+
+    def _hash(self) -> np.ndarray:
+        """A hash of the GRAM bytes of each anchor, whose high bits choose the part."""
+        views = np.ndarray((len(self.buf) - 7,), "<u8", self.text, strides=(1,))
+        h = np.zeros(len(self.anchor), np.uint64)
+        for k in range(0, GRAM, 8):
+            h ^= views[self.anchor + k]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def by_hash(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors in the order of their hashes, where each distinct hash begins there, and which distinct hash is the first of each part."""
+        by = np.argsort(self.hash)
+        h = self.hash[by]
+        cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        part = (h[cut] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        return by, cut, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+    def contexts(self, some: np.ndarray, length: int) -> np.ndarray:
+        """Fixed-width rows of the contexts of some anchors: two lengths, then the bytes, zero after the end."""
         wide = 2 * length
         rows = np.zeros((len(some), wide + 2), np.uint8)
-        span = np.arange(wide, dtype=np.int32)
-        size = (self.count[some] + length - 1).astype(np.int32)
         rows[:, 0], rows[:, 1] = self.count[some], self.anchor[some] - self.first[some]
-        first = self.first[some].astype(np.int32)
-        for k in range(0, len(some), 1 << 14):
-            part = slice(k, k + (1 << 14))
-            take = np.minimum(first[part, None] + span, np.int32(len(self.buf) - 1))
-            rows[part, 2:] = np.where(span < size[part, None], self.buf[take], 0)
-        return rows, size
+        first, edge = self.first[some], max(0, len(self.buf) - wide)
+        for own, text, at in ((first < edge, self.text, 0), (first >= edge, self.text[edge:] + bytes(wide), edge)):  # the last rows may reach beyond the text
+            views = np.ndarray((max(0, len(text) - wide + 1),), f"V{wide}", text, strides=(1,))
+            rows[own, 2:] = views[first[own] - at].view(np.uint8).reshape(-1, wide)
+        rows[:, 2:] *= np.arange(wide, dtype=np.uint8) < rows[:, :1] + np.uint8(length - 1)
+        return rows
 
 
 def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,23 +214,29 @@ def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, number.ravel()
 
 
+def _equal_contexts(x: Block, some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The number of each row's class, for contexts ordered by the hash of their anchors: only those of one hash can be equal."""
+    h = x.hash[some]
+    same = h[1:] == h[:-1]
+    twin = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+    number = np.arange(len(some))
+    if len(twin):
+        first, own = _equal_rows(rows[twin])
+        number[twin] = twin[first][own]
+    return number
+
+
 def _anchors(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, ids, sizes, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = Block(ids, sizes, text, length)
+            for block, *held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = Block(*held, length)
                 if not len(x.hash):
                     continue
-                by = np.lexsort((x.doc, x.hash))
-                h, d = x.hash[by], x.doc[by]
-                cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                last = np.concatenate((cut[1:], [len(h)])) - 1
-                h, twice = h[cut], d[cut] != d[last]
-                part = h % np.uint64(parts)
-                by = np.argsort(part, kind="stable")
-                h, twice, part = h[by], twice[by], part[by]
-                edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                rows = [(p, block, (h[a:z] // np.uint64(parts)).astype("<u4").tobytes(), np.packbits(twice[a:z]).tobytes()) for p, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if z > a]
+                by, cut, edge = x.by_hash(parts)
+                h, d = x.hash[by[cut]].astype("<u4"), x.doc[by]
+                twice = np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)
+                rows = [(p, block, h[a:z].tobytes(), np.packbits(twice[a:z]).tobytes()) for p, (a, z) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if z > a]
                 yield _batch(ANCHORS, rows)
 
     return run
@@ -184,18 +244,20 @@ def _anchors(parts: int, length: int):
 
 def _repeated(group: pa.Table) -> pa.Table:
     part, block, hashes, twice = (group.column(n).to_pylist() for n in ("part", "block", "hashes", "twice"))
-    order = sorted(range(len(block)), key=block.__getitem__)
-    values = [np.frombuffer(hashes[k], "<u4") for k in order]
-    flags = [np.unpackbits(np.frombuffer(twice[k], np.uint8), count=len(v)).astype(bool) for k, v in zip(order, values, strict=True)]
-    every, number, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    many = times > 1
-    many[number[np.concatenate(flags)]] = True
-    hit, at, rows = many[number], 0, []
-    for k, v in zip(order, values, strict=True):
-        own = hit[at : at + len(v)]
-        at += len(v)
-        if own.any():
+    size = [len(h) // 4 for h in hashes]
+    values = np.frombuffer(b"".join(hashes), "<u4")
+    flags = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(twice, size, strict=True)]).astype(bool)
+    by = np.argsort(values)
+    value = values[by]
+    start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    times = np.diff(np.append(start, len(value)))
+    hit = np.zeros(len(values), bool)
+    hit[by] = np.repeat((times > 1) | np.logical_or.reduceat(flags[by], start), times)
+    rows, at = [], 0
+    for k, n in enumerate(size):
+        if (own := hit[at : at + n]).any():
             rows.append((block[k], part[k], np.packbits(own).tobytes()))
+        at += n
     return pa.Table.from_batches([_batch(REPEATED, rows)])
 
 
@@ -203,22 +265,30 @@ def _contexts(parts: int, length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            block, ids, sizes, text = (left.column(k)[0].as_py() for k in range(4))
-            x = Block(ids, sizes, text, length)
-            part = x.hash % np.uint64(parts)
-            by = np.lexsort((x.hash, part))
-            edge = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            block, *held = (c[0].as_py() for c in left.columns)
+            x = Block(*held, length)
+            by, cut, edge = x.by_hash(parts)
+            hit = np.zeros(len(cut), bool)
             for p, bits in zip(right.column("part").to_pylist(), right.column("bits").to_pylist(), strict=True):
-                own = by[edge[p] : edge[p + 1]]
-                new = np.concatenate(([True], x.hash[own][1:] != x.hash[own][:-1]))
-                hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(new.sum())).astype(bool)[np.cumsum(new) - 1]
-                some = own[hit]
-                wide, _ = x.contexts(some, length)
-                first, number = _equal_rows(wide)
-                low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
-                np.minimum.at(low, number, x.doc[some])
-                np.maximum.at(high, number, x.doc[some])
-                rows.append((p, block, len(first), _squeeze(some[first].astype("<u4"), low.astype("<i8"), high.astype("<i8"), wide[first])))
+                hit[edge[p] : edge[p + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(edge[p + 1] - edge[p]))
+            times = np.diff(np.append(cut, len(by)))
+            some = by[np.repeat(hit, times)]
+            ends = np.concatenate(([0], np.cumsum(np.where(hit, times, 0))))[edge]  # where each part's contexts begin among them
+            p = 0
+            while p < parts:  # some parts at once
+                q = max(p + 1, int(np.searchsorted(ends, ends[p] + ROWS, side="right")) - 1)
+                own = some[ends[p] : ends[q]]
+                if len(own):
+                    wide = x.contexts(own, length)
+                    number = _equal_contexts(x, own, wide)
+                    first, number = np.unique(number, return_inverse=True)
+                    low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+                    np.minimum.at(low, number, x.doc[own])
+                    np.maximum.at(high, number, x.doc[own])
+                    anchor, wide = own[first].astype("<u4"), wide[first]
+                    at = np.searchsorted(first, ends[p : q + 1] - ends[p]).tolist()
+                    rows += [(p + k, block, z - a, _squeeze(anchor[a:z], low[a:z], high[a:z], wide[a:z])) for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
+                p = q
         return pa.Table.from_batches([_batch(CONTEXTS, rows)])
 
     return run
@@ -228,21 +298,23 @@ def least_ids(rows: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarra
     """For distinct contexts, runs (context, first window, end window, least id that has these windows)."""
     windows = rows[:, 0].astype(np.int64)
     size = windows + length - 1
-    buf = rows[:, 2:][np.arange(rows.shape[1] - 2) < size[:, None]]
-    owner = np.repeat(np.arange(len(rows)), size)
-    place = np.arange(len(buf)) - (np.cumsum(size) - size)[owner]
-    sa = suffix_array(buf, size)
-    sa = sa[place[sa] < windows[owner[sa]]]  # those that start a window
-    group = np.cumsum(np.concatenate(([0], ~shares(buf, sa[:-1], sa[1:], length))))
-    best = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, group, low[owner[sa]])
-    found = np.full(len(buf), np.iinfo(np.int64).max)
-    found[sa] = best[group]
-    window = np.flatnonzero(place < windows[owner])
-    o, b = owner[window], found[window]
-    new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (b[1:] != b[:-1]))))
-    stop = np.concatenate((new[1:], [len(window)]))
-    return o[new], place[window[new]], place[window[new]] + stop - new, b[new]
+    buf = rows[:, 2:][np.arange(rows.shape[1] - 2, dtype=np.uint8) < size.astype(np.uint8)[:, None]]
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(rows)), windows)  # of each window
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    number = np.full(len(buf), -1, np.int32)  # of the window that starts at each byte
+    number[begin[owner] + place] = np.arange(len(owner), dtype=np.int32)
+    sa = suffix_array(buf, size, windows, length)
+    window = number[sa]
+    starts = window >= 0
+    sa, window = sa[starts], window[starts]
+    group = np.flatnonzero(np.concatenate(([True], ~shares(buf, sa[:-1], sa[1:], length))))
+    best = np.minimum.reduceat(low[owner[window]], group)
+    b = np.empty(len(owner), np.int64)
+    b[window] = np.repeat(best, np.diff(np.append(group, len(sa))))
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (b[1:] != b[:-1]))))
+    stop = np.diff(np.append(new, len(owner)))
+    return owner[new], place[new], place[new] + stop, b[new]
 
 
 def _resolve(length: int):
@@ -287,10 +359,15 @@ def covered(x: Block, marks: list[tuple[int, bytes]], length: int) -> np.ndarray
         parts = [_arrays(body, ("<u4", n), ("u1", n), ("u1", n), ("<i8", n)) for n, body in marks]
         anchor, start, end, least = (np.concatenate([p[k] for p in parts]) for k in range(4))
         # all anchors with the same context as one that is named
-        named = np.unique(anchor).astype(np.int64)
-        some = np.flatnonzero(np.isin(x.hash, x.hash[named]))
-        rows, _ = x.contexts(some, length)
-        _, number = _equal_rows(rows)
+        some = np.flatnonzero(np.isin(x.hash, np.unique(x.hash[anchor])))
+        some = some[np.argsort(x.hash[some])]
+        number = np.empty(len(some), np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], x.hash[some[1:]] != x.hash[some[:-1]])))
+        a = 0
+        while a < len(some):  # some hashes at once
+            z = int(np.append(cut, len(some))[max(np.searchsorted(cut, a) + 1, np.searchsorted(cut, a + ROWS))])
+            number[a:z] = a + _equal_contexts(x, some[a:z], x.contexts(some[a:z], length))
+            a = z
         klass = np.full(len(x.hash), -1, np.int64)
         klass[some] = number
         by = np.argsort(number, kind="stable")
@@ -303,14 +380,14 @@ def covered(x: Block, marks: list[tuple[int, bytes]], length: int) -> np.ndarray
         mark, hit = mark[later], hit[later]
         np.add.at(change, x.first[hit] + start[mark], 1)
         np.add.at(change, x.first[hit] + end[mark] - 1 + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change, out=change)[:-1] > 0
 
 
 def _cut(length: int, id_col: str, with_kept: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for _, ids, sizes, text in zip(*(left.column(k).to_pylist() for k in range(4)), strict=True):
-            x = Block(ids, sizes, text, length)
+        for _, *held in zip(*(c.to_pylist() for c in left.columns), strict=True):
+            x = Block(*held, length)
             gone = covered(x, list(zip(right.column("n").to_pylist(), right.column("body").to_pylist(), strict=True)), length)
             for i, a, z in zip(x.ids.tolist(), (x.ends - x.sizes).tolist(), x.ends.tolist(), strict=True):
                 own = gone[a:z]
@@ -342,7 +419,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     scratch = Scratch(spark, "repeats")
     slim = df.select(F.spark_partition_id().cast("bigint").alias("part"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = scratch.keep(slim.mapInArrow(_pack(block_bytes), BLOCKS), "blocks")
+    blocks = scratch.keep(slim.mapInArrow(_pack(block_bytes, length), BLOCKS), "blocks")
     total = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
     # as many tasks as the data need, so that none reads more when there are more data

@@ -17,77 +17,106 @@ def _views(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - 7,), ">u8", np.ascontiguousarray(buf).data, strides=(1,))
 
 
-def _padded(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The eight-byte views of the strings with eight zero bytes after each, and how far each string has moved."""
-    moved = np.repeat(8 * np.arange(len(lengths)), lengths)
+def _padded(buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The eight-byte views of the strings with eight zero bytes after each."""
     out = np.zeros(len(buf) + 8 * len(lengths) + 8, np.uint8)
-    out[np.arange(len(buf)) + moved] = buf
-    return _views(out), moved
+    inside = np.repeat(np.tile([True, False], len(lengths)), np.stack([lengths, np.full(len(lengths), 8)], axis=1).ravel())
+    out[: len(inside)][inside] = buf
+    return _views(out)
 
 
-def _words(views: np.ndarray, at: np.ndarray, left: np.ndarray, word: int) -> np.ndarray:
-    """Bytes 8 * word to 8 * word + 7 of each suffix as a number, zero after its end."""
-    inside = left > 8 * word
-    out = views[np.where(inside, at + 8 * word, 0)].astype(np.uint64)
+def _bytes(views: np.ndarray, at: np.ndarray, left: np.ndarray, begin: int) -> np.ndarray:
+    """Bytes begin to begin + 7 of each suffix as a number, zero after its end."""
+    inside = left > begin
+    out = views[np.where(inside, at + begin, 0)].astype(np.uint64)
     out[~inside] = 0
     return out
 
 
-def direct_sort(views: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of suffixes of padded strings: eight bytes at a time, only among those still equal; left: their lengths."""
-    first = _words(views, at, left, 0)
-    order = np.lexsort((left, first))
+def direct_sort(views: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Order of suffixes of padded strings, only among those still equal; left: their lengths.
+
+    After the first eight bytes a sort key is the number of the group of equals and as many of
+    the next bytes as a 64-bit number has room for. With a depth, suffixes that share so many
+    bytes come in any order.
+    """
+    first = _bytes(views, at, left, 0)
+    order = np.argsort(first)
     first = first[order]
-    group = np.cumsum(np.concatenate(([0], (first[1:] != first[:-1]).astype(np.int64)))) if len(at) else np.zeros(0, np.int64)
-    word, most = 1, int(left.max(initial=0))
-    while word * 8 < most:
-        same = np.zeros(len(order), bool)
-        same[1:] |= group[1:] == group[:-1]
-        same[:-1] |= group[1:] == group[:-1]
-        some = np.flatnonzero(same)
-        if not len(some):
+    group = np.cumsum(np.concatenate(([False], first[1:] != first[:-1]))) if len(at) else np.zeros(0, np.int64)
+    some, done, most = np.arange(len(at)), 8, int(left.max(initial=0)) if depth is None else depth
+    while len(some):
+        # places of some, in order, and the groups there: only those of two or more go on
+        same = group[1:] == group[:-1]
+        tied = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        some, group = some[tied], group[tied]
+        if done >= most or not len(some):
             break
+        group = np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))
+        room = (64 - int(group[-1]).bit_length()) // 8
+        who = order[some]
+        key = _bytes(views, at[who], left[who], done)
+        if room < 8:
+            key >>= np.uint64(64 - 8 * room)
+            key |= group.astype(np.uint64) << np.uint64(8 * room)
+        by = np.argsort(key)
+        order[some], key = who[by], key[by]
+        group, done = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))), done + room
+    if depth is None and len(some):  # equal but for zero bytes at the end
         who = order[some]
-        value = _words(views, at[who], left[who], word)
-        by = np.lexsort((left[who], value, group[some]))
-        order[some], value, g = who[by], value[by], group[some][by]
-        step = np.concatenate(([True], (value[1:] != value[:-1]) | (g[1:] != g[:-1])))
-        number = np.zeros(len(order), np.int64)
-        number[some] = np.cumsum(step)
-        change = np.concatenate(([0], ((group[1:] != group[:-1]) | (number[1:] != number[:-1])).astype(np.int64)))
-        group, word = np.cumsum(change), word + 1
+        order[some] = who[np.lexsort((left[who], group))]
     return order
 
 
-def suffix_array(buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order; buf: the strings' bytes back to back, none empty."""
+def suffix_array(buf: np.ndarray, lengths: np.ndarray, heads: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
+    """Positions of suffixes in order; buf: the strings' bytes back to back, none empty.
+
+    Of all suffixes; or with heads, of at least those that start at the first heads[k] positions of string k
+    (one or more), and the few after them that these arise from. With a depth, suffixes that share so
+    many bytes are neighbours in any order: a scan of suffixes ordered by their first bytes gives
+    the L suffixes ordered by one byte more.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
-    last = np.zeros(n, bool)
-    last[ends - 1] = True
-    left = np.repeat(ends, lengths) - np.arange(n)
+    lasts = ends - 1
     # type L: greater than the successor; equal bytes take the type of the next position
-    sign = np.zeros(n, np.int8)
-    sign[:-1] = np.sign(buf[:-1].astype(np.int16) - buf[1:].astype(np.int16))
-    sign[last] = 1
-    known = np.flatnonzero(sign)
-    is_l = sign[known[np.searchsorted(known, np.arange(n))]] > 0
-    s_at = np.flatnonzero(~is_l)
-    views, moved = _padded(buf, lengths)
-    s_at = s_at[direct_sort(views, s_at + moved[s_at], left[s_at])]
-    s_first = buf[s_at]
-    s_cut = np.searchsorted(s_first, np.arange(257))
+    is_l = np.empty(n, bool)
+    is_l[:-1] = buf[:-1] > buf[1:]
+    is_l[lasts] = True
+    equal = buf[:-1] == buf[1:]
+    equal[lasts[:-1]] = False
+    even = np.flatnonzero(equal)
+    if len(even):  # the type of the position after the run of equal bytes
+        after = np.flatnonzero(np.concatenate((np.diff(even) != 1, [True])))
+        is_l[even] = is_l[even[after[np.searchsorted(after, np.arange(len(even)))]] + 1]
     begins = np.zeros(n, bool)
     begins[0] = True
     begins[ends[:-1]] = True
+    s_at = np.flatnonzero(~is_l)
+    if heads is not None:  # up to the first S suffix that is not before the last head
+        first = ends - lengths
+        wanted = np.minimum(np.append(s_at, n)[np.searchsorted(s_at, first + heads - 1)], lasts)
+        edge = np.zeros(n + 1, np.int32)
+        edge[first] += 1
+        edge[wanted + 1] -= 1
+        s_at = s_at[np.cumsum(edge[:-1])[s_at] > 0]
+        lasts = lasts[wanted == lasts]
+    views = _padded(buf, lengths)
+    owner = np.searchsorted(ends, s_at, side="right")
+    s_at = s_at[direct_sort(views, s_at + 8 * owner, ends[owner] - s_at, depth)]
+    s_first = buf[s_at]
+    s_cut = np.searchsorted(s_first, np.arange(257))
+    # whether the position before is of type L in the same string
+    leads = np.zeros(n, bool)
+    leads[1:] = is_l[:-1]
+    leads &= ~begins
 
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
 
     def induce(scanned: np.ndarray) -> None:
-        before = scanned[~begins[scanned]] - 1
-        before = before[is_l[before]]
+        before = scanned[leads[scanned]] - 1
         if not len(before):
             return
         first = buf[before]
@@ -97,7 +126,7 @@ def suffix_array(buf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         for a, b in zip(cut, [*cut[1:], len(first)], strict=True):
             buckets[first[a]].append(before[a:b])
 
-    lasts = ends - 1  # what the ends of the strings, smaller than all, induce
+    # what the ends of the strings, smaller than all, induce
     by = np.argsort(buf[lasts], kind="stable")
     for byte in np.unique(buf[lasts]):
         buckets[byte].append(lasts[by][buf[lasts][by] == byte])
