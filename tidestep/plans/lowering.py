@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import ArithmeticException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,7 +196,7 @@ class Lowering:
         if isinstance(node, ir.Negate):
             return -self.number(self.expr(node.value, guard))
         if isinstance(node, ir.Binary):
-            return self.arithmetic(node.op, self.expr(node.left, guard), self.expr(node.right, guard), node)
+            return self.arithmetic(node.op, self.expr(node.left, guard), self.expr(node.right, guard), node, guard)
         if isinstance(node, ir.Compare):
             constant = "b" if isinstance(node.right, ir.Const) and not isinstance(node.right.value, Missing) else "a" if isinstance(node.left, ir.Const) and not isinstance(node.left.value, Missing) else ""
             a, b = self.expr(node.left, guard), self.expr(node.right, guard)
@@ -235,7 +236,7 @@ class Lowering:
             return before if isinstance(node, ir.Lag) else self.number(x) - self.number(before)
         raise NotLowered(type(node).__name__)
 
-    def arithmetic(self, op: str, a: Column, b: Column, node: ir.Binary) -> Column:
+    def arithmetic(self, op: str, a: Column, b: Column, node: ir.Binary, guard: Column | None) -> Column:
         ka, kb = self.kind(a), self.kind(b)
         if isinstance(ka, T.StringType) and isinstance(kb, T.StringType) and op == "+":
             return F.concat(a, b)
@@ -270,11 +271,24 @@ class Lowering:
             return F.pow(a, b)
         if exponent is None or exponent > 16:
             raise NotLowered("a whole power that is not a short product")
-        power = F.lit(1).cast("bigint")
+        kind = "bigint" if self.fits(a, exponent, guard) else "decimal(38,0)"
+        power = F.lit(1).cast(kind)
         for _ in range(exponent):
-            power = power * a
+            power = (power * a.cast(kind)).cast(kind)
         return F.when(a.isNotNull(), power)
 
+    def fits(self, a: Column, exponent: int, guard: Column | None) -> bool:
+        """Whether a whole power of all the rows' values has 64 bits; rows are read only if the type leaves it open."""
+        bits = {"tinyint": 7, "smallint": 15, "int": 31}.get(self.kind(a).simpleString(), 63)
+        if bits * exponent < 63 or exponent < 2 or self.dry or self.df.isStreaming:
+            return True
+        rows = self.df if guard is None else self.df.where(guard)
+        try:
+            low, high = rows.agg(F.min(a), F.max(a)).first()
+        except ArithmeticException:  # a branch not taken may have it; if it is taken, the step shows it
+            return True
+        return all(x is None or -(2**63) <= x**exponent < 2**63 for x in (low, high))
+
     def edge(self, node: ir.Edge) -> Column:
         if node.name not in self.by:
             raise KeyError(f"{node.name} is no BY variable")
