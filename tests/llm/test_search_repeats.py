@@ -205,6 +205,16 @@ def test_repeats_some_rows_at_once(monkeypatch):
     assert got == brute_repeats(rows) and any(r[2] for r in got)
 
 
+def test_few_messages_between_blocks_and_parts():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 1 << 20, dtype=np.uint8).tobytes().decode() for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 20), pa.array(range(20)), pa.array(texts)], names=["part", "id", "text"])
+    blocks = list(repeats._pack(repeats.BLOCK_BYTES, 50)(iter([batch])))
+    assert len(blocks) == 2  # the messages are these times the parts
+    told = pa.Table.from_batches(list(repeats._anchors(5, 50)(iter(blocks))))
+    assert told.num_rows == 2 * 5 and 20 * 2**20 / 18.5 < sum(map(len, told.column("hashes").to_pylist())) / 4 < 20 * 2**20 / 17.5
+
+
 def brute_repeats(rows, length=50):
     starts = {}
     for d, t in rows:
