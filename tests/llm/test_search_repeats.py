@@ -215,6 +215,32 @@ def test_few_messages_between_blocks_and_parts():
     assert told.num_rows == 2 * 5 and 20 * 2**20 / 18.5 < sum(map(len, told.column("hashes").to_pylist())) / 4 < 20 * 2**20 / 17.5
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_rows_are_compared_in_full(monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(repeats, "row_hashes", lambda words: words[:, 0] % np.uint64(3))
+    monkeypatch.setattr(repeats, "ROWS", 5)
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 200):
+        rows = rng.integers(0, 2, (n, 102), dtype=np.uint8) * (np.arange(102) < 5).astype(np.uint8) + np.uint8(1)
+        first, number = repeats._equal_rows(rows)
+        assert len(first) == len({r.tobytes() for r in rows}) and number[first].tolist() == list(range(len(first)))
+        assert np.array_equal(rows[first][number], rows)
+
+
+def test_marks_look_only_at_contexts_that_may_be_equal(monkeypatch):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    alone, twice = [letters(300) for _ in range(6)], letters(300)
+    x = repeats.Block(*repeats.pack_block([(k, t) for k, t in enumerate([*alone, twice, twice])], 50), 50)
+    made, contexts = [], repeats.Block.contexts
+    monkeypatch.setattr(repeats.Block, "contexts", lambda self, some, length: made.append(len(some)) or contexts(self, some, length))
+    some = np.flatnonzero(x.doc < 7)  # one of each context is named, as the round before the last step does
+    mark = (len(some), repeats._squeeze(some.astype("<u4"), np.zeros(len(some), "u1"), x.count[some], np.full(len(some), -1, "<i8")))
+    gone = repeats.covered(x, [mark], 50)
+    assert gone.all() and sum(made) == 2 * int((x.doc == 6).sum())
+
+
 def brute_repeats(rows, length=50):
     starts = {}
     for d, t in rows:

@@ -56,7 +56,7 @@ CONTEXTS = "part bigint, block bigint, n bigint, body binary"
 MARKS = "block bigint, n bigint, body binary"
 
 
-_zip, _unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -109,16 +109,17 @@ def _pack(most: int, length: int):
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes at each position, by doubling."""
-    h, width = buf.astype(np.uint64) + np.uint64(1), 1
-    factor = 0x9E3779B97F4A7C15
+    """A 32-bit hash of the GRAM bytes at each position, by doubling; 32 bits are multiplied and compared many at once."""
+    h, width = buf.astype(np.uint32) + np.uint32(1), 1
+    factor = 0x9E3779B1
     while width < GRAM:
-        more = h[:-width] * np.uint64(factor)
+        more = h[:-width] * np.uint32(factor)
         more += h[width:]
-        h, width, factor = more, 2 * width, factor * factor & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+        h, width, factor = more, 2 * width, factor * factor & 0xFFFFFFFF
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
     return h
 
 
@@ -135,14 +136,14 @@ def find_anchors(ids: np.ndarray, sizes: np.ndarray, text: bytes, length: int) -
     ahead = np.zeros(len(buf) - length + 1, np.uint8)
     for k in range(0, len(ahead), GRAMS):
         h = gram_hashes(buf[k : k + GRAMS + length - 1])
-        # the place in the low bits; between 2 ** 61 and 2 ** 62 the order is that of the same bits as floats, for which minima are fast
-        least = ((h >> np.uint64(19) << np.uint64(16)) | np.arange(1 << 61, (1 << 61) + len(h), dtype=np.uint64)).view(np.float64)
+        # 13 bits of the hash, then the place: of equal ones the leftmost is least
+        least = (h >> np.uint32(19) << np.uint32(16)) | np.arange(len(h), dtype=np.uint32)
         width = 1
         while width < grams:
             step = min(width, grams - width)
             least = np.minimum(least[: len(least) - step], least[step:])
             width += step
-        place = (least.view(np.uint64) & np.uint64(0xFFFF)).astype(np.int32)
+        place = (least & np.uint32(0xFFFF)).astype(np.int32)
         ahead[k : k + GRAMS] = place - np.arange(len(place), dtype=np.int32)
     begin, windows = _spans(ids, sizes, length)
     edge = np.zeros(len(buf) + 1, np.int8)
@@ -208,20 +209,45 @@ class Block:
 
 
 def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One index of each distinct row, and the number of each row's class."""
-    view = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
-    _, first, number = np.unique(view, return_index=True, return_inverse=True)
-    return first, number.ravel()
+    """One index of each distinct row, and the number of each row's class.
+
+    Rows are ordered by a hash and neighbours of one hash compared in full; if such differ, the rows themselves are sorted.
+    """
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8)), np.uint64)
+    words.view(np.uint8)[:, : rows.shape[1]] = rows
+    h = row_hashes(words)
+    by = np.argsort(h)
+    h = h[by]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    if not all(np.array_equal(words[by[k]], words[by[k + 1]]) for k in np.array_split(same, len(same) // ROWS + 1)):
+        view = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
+        _, first, number = np.unique(view, return_index=True, return_inverse=True)
+        return first, number.ravel()
+    new = np.ones(len(rows), bool)
+    new[same + 1] = False
+    number = np.empty(len(rows), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return by[new], number
+
+
+def row_hashes(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of numbers."""
+    h = np.zeros(len(words), np.uint64)
+    for k in range(words.shape[1]):
+        h ^= words[:, k]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
 
 
-def _equal_contexts(x: Block, some: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The number of each row's class, for contexts ordered by the hash of their anchors: only those of one hash can be equal."""
+def _equal_contexts(x: Block, some: np.ndarray, length: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """The number of each context's class, for anchors in the order of their hashes: only those of one hash can be equal."""
     h = x.hash[some]
     same = h[1:] == h[:-1]
     twin = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
     number = np.arange(len(some))
     if len(twin):
-        first, own = _equal_rows(rows[twin])
+        first, own = _equal_rows(x.contexts(some[twin], length) if rows is None else rows[twin])
         number[twin] = twin[first][own]
     return number
 
@@ -280,7 +306,7 @@ def _contexts(parts: int, length: int):
                 own = some[ends[p] : ends[q]]
                 if len(own):
                     wide = x.contexts(own, length)
-                    number = _equal_contexts(x, own, wide)
+                    number = _equal_contexts(x, own, length, wide)
                     first, number = np.unique(number, return_inverse=True)
                     low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
                     np.minimum.at(low, number, x.doc[own])
@@ -333,7 +359,7 @@ def _resolve(length: int):
         who, start, end, least = least_ids(rows[first], best, length)
         # each run back to every block that has the context in a document of greater id
         by = np.argsort(number, kind="stable")
-        edge = np.searchsorted(number[by], np.arange(len(first) + 1))
+        edge = np.concatenate(([0], np.cumsum(np.bincount(number))))
         times = edge[who + 1] - edge[who]
         run_of = np.repeat(np.arange(len(who)), times)
         sent = by[np.repeat(edge[who], times) + np.arange(len(run_of)) - np.repeat(np.cumsum(times) - times, times)]
@@ -358,20 +384,22 @@ def covered(x: Block, marks: list[tuple[int, bytes]], length: int) -> np.ndarray
     if marks:
         parts = [_arrays(body, ("<u4", n), ("u1", n), ("u1", n), ("<i8", n)) for n, body in marks]
         anchor, start, end, least = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        # all anchors with the same context as one that is named
-        some = np.flatnonzero(np.isin(x.hash, np.unique(x.hash[anchor])))
+        # all anchors with the same context as one that is named: its hash begins alike
+        named = np.zeros(1 << 22, bool)
+        named[x.hash[anchor] >> np.uint64(42)] = True
+        some = np.flatnonzero(named[x.hash >> np.uint64(42)])
         some = some[np.argsort(x.hash[some])]
         number = np.empty(len(some), np.int64)
         cut = np.flatnonzero(np.concatenate(([True], x.hash[some[1:]] != x.hash[some[:-1]])))
         a = 0
         while a < len(some):  # some hashes at once
             z = int(np.append(cut, len(some))[max(np.searchsorted(cut, a) + 1, np.searchsorted(cut, a + ROWS))])
-            number[a:z] = a + _equal_contexts(x, some[a:z], x.contexts(some[a:z], length))
+            number[a:z] = a + _equal_contexts(x, some[a:z], length)
             a = z
         klass = np.full(len(x.hash), -1, np.int64)
         klass[some] = number
         by = np.argsort(number, kind="stable")
-        edge = np.searchsorted(number[by], np.arange(int(number.max()) + 2))
+        edge = np.concatenate(([0], np.cumsum(np.bincount(number))))
         own = klass[anchor]
         times = edge[own + 1] - edge[own]
         mark = np.repeat(np.arange(len(anchor)), times)
